@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm import copies, looks
+from quaymark.llm import copies, encode, garbled, looks
 from quaymark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p3_consistent")
 def p3_consistent(spark: SparkSession, d: str) -> DataFrame:
     return looks.consistent(table(spark, d, "instances").select("instance_id", F.col("input").alias("text")), ["instance_id"]).drop("text")
+
+
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    tasks = table(spark, d, "tasks").select("task", F.col("input_language").alias("lang")).dropDuplicates(["task"])
+    return table(spark, d, "instances").join(tasks, "task", "left").select("instance_id", "lang", F.col("input").alias("text"))
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled(_languages(spark, d)).select("instance_id").distinct()
+
+
+@query("p6_restored")
+def p6_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled(_languages(spark, d))
+
+
+@query("p7_ids")
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encoded(table(spark, d, "documents"))
