@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm import copies, encode, garbled, looks
+from quaymark.llm import copies, encode, garbled, looks, sentences
 from quaymark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,8 @@ def p6_restored(spark: SparkSession, d: str) -> DataFrame:
 @query("p7_ids")
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encoded(table(spark, d, "documents"))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "documents"))
