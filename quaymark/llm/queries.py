@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm import copies, encode, garbled, looks, sentences
+from quaymark.llm import copies, cut, encode, garbled, looks, sentences
 from quaymark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,17 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 @query("p9_found")
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents"))
+
+
+def _truncated(spark: SparkSession, d: str) -> DataFrame:
+    return cut.truncated(table(spark, d, "logs"), table(spark, d, "tasks"), table(spark, d, "instances"))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _truncated(spark, d)
+
+
+@query("p5_share")
+def p5_share(spark: SparkSession, d: str) -> DataFrame:
+    return cut.shares(table(spark, d, "logs"), table(spark, d, "runs"), _truncated(spark, d))
