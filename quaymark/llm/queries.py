@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm import copies, cut, encode, garbled, looks, sentences
+from quaymark.llm import copies, cut, encode, garbled, looks, pack, pairs, sentences
 from quaymark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tasks").select(F.col("task").alias("grp"), F.col("field_labels").alias("labels"))
 
 
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defective(table(spark, d, "instances"), table(spark, d, "logs"), table(spark, d, "tasks"))
+
+
 @query("p2_found")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies(table(spark, d, "instances"), _labels(spark, d))
@@ -76,6 +81,20 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encoded(table(spark, d, "documents"))
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return pack.pack(pack.pieces(pack.sizes(table(spark, d, "documents")), table(spark, d, "containers")))
+
+
+@query("p8_packed")
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+@query("p8_filled")
+def p8_filled(spark: SparkSession, d: str) -> DataFrame:
+    return pack.filled(_packed(spark, d))
+
+
 @query("p9_found")
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents"))
