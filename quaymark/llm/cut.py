@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 from quaymark.llm.chars import caseless
 from quaymark.llm.copies import _markers, _members
+from quaymark.llm.wording import WORDS
 from quaymark.session import cut as write_once
 
 #: A context enters the model if it is seen so often, at least; a share of all tokens bounds their number.
 LEAST, FLOOR, TERMINAL, PHRASE = 20, 1e-6, 0.03, 0.5
-SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 3
-START = "\x02"
+SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 6, 2
+START, MASK = "\x02", "ʘ"
 _WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]|[^\s\p{Han}\p{Hiragana}\p{Katakana}ー々]+")
 _SIDES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}\p{M}]+$")
 _SAYS_CUT = regex.compile(r"(?:�+|\s*[\[<(]\s*(?:cut|truncated|\.{3}|…|max[^\]>)]*)\s*[\]>)])\s*$", regex.I)
@@ -45,7 +46,7 @@ def words(text: str) -> list[str]:
 
 def core(word: str) -> str:
     """A word without its outer signs, digits alike."""
-    return regex.sub(r"\p{N}", "#", _SIDES.sub("", word))
+    return regex.sub(r"\p{N}", "0", _SIDES.sub("", word))
 
 
 def fold(generation: F.Column) -> F.Column:
@@ -76,7 +77,27 @@ class Model:
         return total
 
     def masked(self, text: str) -> list[str]:
-        return [START, *(c if (c := core(w)) in self.vocabulary else ("\x01" if c else "\x03") for w in words(text))]
+        return [START, *(c if (c := core(w)) in self.vocabulary else (MASK if c else "\x03") for w in words(text))]
+
+    def pattern(self, text: str, cache: dict[str, str]) -> str:
+        """The text with rare words masked and digits alike; a last word that no final mark follows stays as it is.
+
+        Texts made from one pattern fall together, so everything that closing words tell is worked out once.
+        """
+        parts = text.split()
+        keep = parts.pop() if parts and not _FINAL.search(body(text)) else None
+        out = []
+        for w in parts:
+            seen = cache.get(w)
+            if seen is None:
+                c = core(w)
+                seen = regex.sub(r"\p{N}", "0", w) if not c or c in self.vocabulary or _UNSPACED.search(w) else w.replace(_SIDES.sub("", w), MASK)
+                if len(cache) < 500_000:
+                    cache[w] = seen
+            out.append(seen)
+        if keep is not None:
+            out.append(regex.sub(r"\p{N}", "0", keep))
+        return " ".join(out)
 
 
 def contexts(masked: list[str], pauses: list[bool]) -> Iterator[tuple[tuple[str, ...], bool, bool]]:
@@ -160,19 +181,34 @@ def distinct_texts(logs: DataFrame) -> DataFrame:
     return folded.groupBy("task", "g").agg(F.count("*").alias("copies")).withColumn("tid", F.xxhash64("task", "g"))
 
 
-def learn(texts: DataFrame) -> Model:
-    """The model from all texts, each as often as it occurs; words and contexts are counted map-side, rare ones left out by share."""
+def vocabulary(texts: DataFrame) -> set[str]:
+    """Words of a share of at least 1e-5 of all, so at most 1e5 of them; counted map-side."""
     spread = texts.select("copies", F.explode(F.split("g", " ")).alias("w")).groupBy("w").agg(F.sum("copies").alias("n"))
     total = F.sum("n").over(_everything())
-    frequent = spread.where(F.length("w") <= 40).withColumn("all", total).where(F.col("n") >= F.greatest(F.lit(LEAST), F.col("all") * 1e-5)).select("w", "n").toPandas()
-    counted: Counter = Counter()
-    for w, n in frequent.itertuples(index=False):
-        if not regex.search(r"[\p{Han}\p{Hiragana}\p{Katakana}]", w):
-            counted[core(w)] += n
-    vocabulary = {w for w in counted if w} | {"\x01"}
+    kept = spread.where((F.length("w") <= 40) & (F.col("n") >= LEAST // 2)).withColumn("all", total).where(F.col("n") >= F.greatest(F.lit(LEAST), F.col("all") * 1e-5))
+    found = {core(w) for (w,) in kept.select("w").toPandas().itertuples(index=False) if not _UNSPACED.search(w)}
+    return _Mixed(found - {""} | {MASK} | WORDS)
+
+
+def patterns(texts: DataFrame, known: set[str]) -> DataFrame:
+    """``tid``, ``task``, ``copies``, ``mk``: the pattern of every distinct text."""
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, cache = Model(shared.value), {}
+        for b in batches:
+            yield pd.DataFrame({"tid": b["tid"], "task": b["task"], "copies": b["copies"], "mk": [m.pattern(g, cache) for g in b["g"]]})
+
+    return texts.select("tid", "task", "copies", "g").mapInPandas(run, "tid bigint, task string, copies bigint, mk string")
+
+
+def learn(made: DataFrame, known: set[str]) -> Model:
+    """The model from the patterns of all texts, each as often as it occurs; contexts are counted map-side, rare ones
+    left out by their share."""
+    shared = made.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine = Model(_Mixed(vocabulary))
+        mine = Model(shared.value)
         for b in batches:
             all_, end, halt = Counter(), Counter(), Counter()
             for t, k in b.itertuples(index=False):
@@ -187,9 +223,11 @@ def learn(texts: DataFrame) -> Model:
                         all_["\x04", x] += k
             yield pd.DataFrame({"ctx": ["\x1f".join(c) for c in all_], "n": list(all_.values()), "ends": [end.get(c, 0) for c in all_], "pauses": [halt.get(c, 0) for c in all_]})
 
-    found = texts.select("g", "copies").mapInPandas(run, "ctx string, n bigint, ends bigint, pauses bigint").groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("pauses").alias("pauses"))
-    kept = found.withColumn("all", F.sum("n").over(_everything())).where(F.col("n") >= F.greatest(F.when(F.col("ctx").startswith("\x04"), 2).otherwise(LEAST // 2), F.col("all") * FLOOR)).select("ctx", "n", "ends", "pauses").toPandas()
-    model = Model(_Mixed(vocabulary))
+    once = made.groupBy("mk").agg(F.sum("copies").alias("copies"))
+    found = once.mapInPandas(run, "ctx string, n bigint, ends bigint, pauses bigint").groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("pauses").alias("pauses"))
+    least = F.when(F.col("ctx").startswith("\x04"), 2).otherwise(LEAST // 2)
+    kept = found.where(F.col("n") >= least).withColumn("all", F.sum("n").over(_everything())).where(F.col("n") >= F.greatest(least, F.col("all") * FLOOR)).select("ctx", "n", "ends", "pauses").toPandas()
+    model = Model(known)
     after = defaultdict(list)
     for ctx, n, ends, pauses in kept.itertuples(index=False):
         key = tuple(ctx.split("\x1f"))
@@ -226,18 +264,37 @@ _A = _RNG.integers(1, 2**31 - 1, BANDS * ROWS, dtype=np.uint64) * 2 + 1
 _B = _RNG.integers(0, 2**31 - 1, BANDS * ROWS, dtype=np.uint64)
 
 
-def bands(tokens: list[str], rare: list[bool]) -> np.ndarray | None:
-    """Band keys of a text over its shingles with a rare word, or over all where there is none; None if too short."""
-    if len(tokens) < SHINGLE:
-        return None
-    hashes = [xxhash.xxh32_intdigest(" ".join(tokens[k : k + SHINGLE])) for k in range(len(tokens) - SHINGLE + 1)]
-    telling = [h for k, h in enumerate(hashes) if any(rare[k : k + SHINGLE])] or hashes
-    x = np.array(telling, np.uint64)
-    least = ((x[:, None] * _A + _B) & np.uint64(0x7FFFFFFFFFFFFFFF)).min(axis=0).reshape(BANDS, ROWS)
-    key = least[:, 0]
-    for r in range(1, ROWS):
-        key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ least[:, r]
-    return ((key >> np.uint64(3)) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x1000193)).astype(np.int64)
+def bands(hashes: list[list[int]]) -> np.ndarray:
+    """A row of band keys for each text's (non-empty) shingle hashes; all texts of a batch at once."""
+    sizes = np.array([len(h) for h in hashes])
+    flat = np.fromiter((x for h in hashes for x in h), np.uint64, int(sizes.sum()))
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    keys = np.empty((len(hashes), BANDS), np.int64)
+    for b in range(BANDS):
+        key = np.full(len(hashes), b, np.uint64)
+        for r in range(b * ROWS, (b + 1) * ROWS):
+            least = np.minimum.reduceat((flat * _A[r] + _B[r]) & np.uint64(0x7FFFFFFFFFFFFFFF), starts)
+            key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ least
+        keys[:, b] = (key >> np.uint64(3)).astype(np.int64)
+    return keys
+
+
+def telling(text: str, known: set[str], cache: dict[str, str]) -> list[int]:
+    """Hashes of the word shingles that hold a rare word, or of all where none does; [] for a text of fewer words."""
+    tokens = []
+    for w in words(body(text)):
+        c = cache.get(w)
+        if c is None:
+            c = core(w)
+            if len(cache) < 500_000:
+                cache[w] = c
+        tokens.append(c)
+    last = len(tokens) - SHINGLE
+    if last < 0:
+        return []
+    rare = [k for k, t in enumerate(tokens) if t not in known]
+    at = sorted({j for k in rare for j in range(max(0, k - SHINGLE + 1), min(k, last) + 1)}) or range(last + 1)
+    return [xxhash.xxh32_intdigest(" ".join(tokens[k : k + SHINGLE])) for k in at]
 
 
 def ends_early(a: str, b: str) -> bool:
@@ -254,27 +311,23 @@ def ends_early(a: str, b: str) -> bool:
     return len(p) < len(q) and not _FINAL.search(q[len(p) - 1])
 
 
-def aligned(texts: DataFrame, model: Model) -> DataFrame:
+def aligned(texts: DataFrame, known: set[str]) -> DataFrame:
     """``tid`` of every text that a near-copy of at least SIMILAR shows to end early.
 
     Only texts that don't end with a final mark, or say that they are cut, ask; all texts answer. Shingles of
     frequent words alone don't band, so texts made from one pattern don't fill a bucket.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+    shared = texts.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m, cache = shared.value, {}
         for b in batches:
-            keys, ids, asks = [], [], []
-            for tid, g in b.itertuples(index=False):
-                tokens = [core(w) for w in words(body(g))]
-                found = bands(tokens, [t not in m.vocabulary for t in tokens])
-                if found is not None:
-                    keys.append(found)
-                    ids.append(np.full(BANDS, tid))
-                    asks.append(np.full(BANDS, not _FINAL.search(g) or bool(_SAYS_CUT.search(g))))
-            if keys:
-                yield pd.DataFrame({"band": np.concatenate(keys), "tid": np.concatenate(ids), "asks": np.concatenate(asks)})
+            found = [telling(g, m, cache) for g in b["g"]]
+            some = np.array([bool(h) for h in found], bool)
+            if some.any():
+                keys = bands([h for h in found if h])
+                asks = np.array([not _FINAL.search(g) or bool(_SAYS_CUT.search(g)) for g in b["g"][some]])
+                yield pd.DataFrame({"band": keys.ravel(), "tid": np.repeat(b["tid"].to_numpy()[some], BANDS), "asks": np.repeat(asks, BANDS)})
 
     keys = write_once(texts.where(F.length("g") >= 12).select("tid", "g").mapInPandas(run, "band bigint, tid bigint, asks boolean"))
     asking = keys.where("asks").select("band", F.col("tid").alias("a"))
@@ -294,17 +347,23 @@ def aligned(texts: DataFrame, model: Model) -> DataFrame:
     return pairs.join(ta, "a").join(tb, "b").select("a", "ga", "gb").mapInPandas(verify, "tid bigint").distinct()
 
 
-def scored(texts: DataFrame, classes: DataFrame, model: Model) -> DataFrame:
-    """``tid`` of every text that its closing words show to be cut."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+def scored(made: DataFrame, classes: DataFrame, model: Model) -> DataFrame:
+    """``tid`` of every text whose closing words show it to be cut."""
+    shared = made.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for b in batches:
-            hit = [is_cut(g, m, tuple(x.lower() for x in c if x) if c is not None else ()) for g, c in zip(b["g"], b["classes"], strict=True)]
-            yield b.loc[hit, ["tid"]]
+            hit = [is_cut(g, m, tuple(x.lower() for x in c if x) if c is not None else ()) for g, c in zip(b["mk"], b["classes"], strict=True)]
+            yield b.loc[hit, ["task", "mk"]]
+
+    once = made.select("task", "mk").distinct().join(_patterned(classes), "task", "left").select("task", "mk", "classes")
+    return made.join(once.mapInPandas(run, "task string, mk string"), ["task", "mk"], "left_semi").select("tid")
 
-    return texts.join(classes, "task", "left").select("tid", "g", "classes").mapInPandas(run, "tid bigint")
+
+def _patterned(classes: DataFrame) -> DataFrame:
+    """Labels as patterns have them, with digits alike."""
+    return classes.select("task", F.transform("classes", lambda c: F.regexp_replace(c, r"\p{N}", "0")).alias("classes"))
 
 
 _NOT_WORD = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
@@ -350,11 +409,18 @@ def _labelled(text: str, labels: tuple[str, ...]) -> list[tuple[str, str]]:
     return list(zip(parts[1::2], parts[2::2], strict=True))
 
 
-def cut_texts(texts: DataFrame, tasks: DataFrame) -> DataFrame:
-    """``tid`` of every distinct text that is cut, by alignment or by its closing words; ``texts`` should be written."""
-    model = learn(texts)
+def prepare(rows: DataFrame) -> tuple[DataFrame, DataFrame, Model]:
+    """The distinct texts of ``rows`` and their patterns, both written, and the model that they teach."""
+    texts = write_once(distinct_texts(rows))
+    known = vocabulary(texts)
+    made = write_once(patterns(texts, known))
+    return texts, made, learn(made, known)
+
+
+def cut_texts(texts: DataFrame, made: DataFrame, model: Model, tasks: DataFrame) -> DataFrame:
+    """``tid`` of every distinct text that is cut, by alignment or by its closing words."""
     classes = tasks.select("task", F.col("class_labels").alias("classes")).dropDuplicates(["task"])
-    return aligned(texts, model).unionByName(scored(texts, classes, model)).distinct()
+    return aligned(texts, model.vocabulary).unionByName(scored(made, classes, model)).distinct()
 
 
 def truncated(logs: DataFrame, tasks: DataFrame, instances: DataFrame) -> DataFrame:
@@ -363,24 +429,30 @@ def truncated(logs: DataFrame, tasks: DataFrame, instances: DataFrame) -> DataFr
     A copy of the prompt, the input or a whole field is whole, however it ends. Null, empty and letterless
     generations are no case, nor are rows without a log_id.
     """
-    texts = write_once(distinct_texts(logs))
-    return of_logs(logs, cut_texts(texts, tasks), tasks, instances)
+    texts, made, model = prepare(logs)
+    return of_logs(logs, cut_texts(texts, made, model, tasks), tasks, instances)
 
 
 def of_logs(logs: DataFrame, tids: DataFrame, tasks: DataFrame, instances: DataFrame) -> DataFrame:
     """The log rows of cut texts, without those that only copy what they were given."""
     rows = logs.select(F.col("log_id").cast("bigint").alias("log_id"), "task", "instance_id", "generation", "full_prompt_string").where("log_id is not null and generation is not null")
-    hits = rows.withColumn("tid", F.xxhash64("task", fold(F.col("generation")))).join(tids, "tid", "left_semi").drop("tid")
+    hits = rows.withColumn("tid", F.xxhash64("task", fold(F.col("generation")))).join(tids, "tid", "left_semi").drop("tid").withColumn("again", may_repeat(F.col("generation"), F.col("full_prompt_string")))
     given = instances.select("instance_id", "input").dropDuplicates(["instance_id"])
     labels = tasks.select("task", F.col("field_labels").alias("labels")).dropDuplicates(["task"])
-    asked = hits.join(given, "instance_id", "left").join(labels, "task", "left").select("log_id", "generation", "full_prompt_string", "input", "labels")
+    asked = hits.where("again").join(given, "instance_id", "left").join(labels, "task", "left").select("log_id", "generation", "full_prompt_string", "input", "labels")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = [k for k, g, p, i, la in b.itertuples(index=False) if not is_copy(g, i, p, tuple(x for x in la if x) if la is not None else ())]
             yield pd.DataFrame({"log_id": out})
 
-    return asked.mapInPandas(run, "log_id bigint").distinct()
+    return hits.where("not again").select("log_id").unionByName(asked.mapInPandas(run, "log_id bigint")).distinct()
+
+
+def may_repeat(text: F.Column, given: F.Column) -> F.Column:
+    """Every word of the text occurs in what was given, as is so of any copy; false for nulls."""
+    low = F.lower(given)
+    return F.coalesce(F.forall(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.contains(low, w)), F.lit(False))
 
 
 def shares(logs: DataFrame, runs: DataFrame, cut_ids: DataFrame) -> DataFrame:
