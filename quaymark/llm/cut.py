@@ -26,8 +26,10 @@ from quaymark.session import cut as write_once
 
 #: A context enters the model if it is seen so often, at least; a share of all tokens bounds their number.
 LEAST, FLOOR, TERMINAL, PHRASE = 20, 1e-6, 0.03, 0.5
-SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 6, 2
-START, MASK = "\x02", "ʘ"
+SHINGLE, SIMILAR = 5, 0.8
+#: Bands and rows for texts with rare words, whose shingles tell them apart, and for texts without.
+BANDED, PLAIN = (6, 2), (24, 8)
+START, NEXT, MASK = "\x02", "\x06", "ʘ"
 _WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]|[^\s\p{Han}\p{Hiragana}\p{Katakana}ー々]+")
 _SIDES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}\p{M}]+$")
 _SAYS_CUT = regex.compile(r"(?:�+|\s*[\[<(]\s*(?:cut|truncated|\.{3}|…|max[^\]>)]*)\s*[\]>)])\s*$", regex.I)
@@ -76,28 +78,38 @@ class Model:
             k += 1
         return total
 
-    def masked(self, text: str) -> list[str]:
-        return [START, *(c if (c := core(w)) in self.vocabulary else (MASK if c else "\x03") for w in words(text))]
-
-    def pattern(self, text: str, cache: dict[str, str]) -> str:
-        """The text with rare words masked and digits alike; a last word that no final mark follows stays as it is.
-
-        Texts made from one pattern fall together, so everything that closing words tell is worked out once.
-        """
-        parts = text.split()
-        keep = parts.pop() if parts and not _FINAL.search(body(text)) else None
-        out = []
-        for w in parts:
-            seen = cache.get(w)
-            if seen is None:
-                c = core(w)
-                seen = regex.sub(r"\p{N}", "0", w) if not c or c in self.vocabulary or _UNSPACED.search(w) else w.replace(_SIDES.sub("", w), MASK)
-                if len(cache) < 500_000:
-                    cache[w] = seen
-            out.append(seen)
-        if keep is not None:
-            out.append(regex.sub(r"\p{N}", "0", keep))
-        return " ".join(out)
+    def masked(self, segment: str, first: bool = True) -> list[str]:
+        return [START if first else NEXT, *(c if (c := core(w)) in self.vocabulary else (MASK if c else "\x03") for w in words(segment))]
+
+
+class Patterns:
+    """Texts cut into sentence-like segments with rare words masked and digits alike.
+
+    Generations are made from few patterns, so what is worked out for a segment is worked out once per worker.
+    """
+
+    def __init__(self, known: set[str], most: int = 500_000) -> None:
+        self.known, self.cache, self.most = known, {}, most
+
+    def _word(self, w: str) -> str:
+        c = core(w)
+        out = regex.sub(r"\p{N}", "0", w) if not c or c in self.known or _UNSPACED.search(w) else w.replace(_SIDES.sub("", w), MASK)
+        if len(self.cache) < self.most:
+            self.cache[w] = out
+        return out
+
+    def of(self, text: str) -> list[str]:
+        """The segments of a folded text; the last word of one that no final mark follows stays as it is."""
+        parts = text.replace('." ', '."\x00').replace(". ", ".\x00").replace("。", "。\x00").split("\x00")
+        out, cache = [], self.cache
+        for k, part in enumerate(parts):
+            ws = part.split()
+            if not ws:
+                continue
+            keep = regex.sub(r"\p{N}", "0", ws.pop()) if k == len(parts) - 1 and not _FINAL.search(body(part)) else None
+            masked = [cache.get(w) or self._word(w) for w in ws]
+            out.append(" ".join(masked if keep is None else [*masked, keep]))
+        return out or [""]
 
 
 def contexts(masked: list[str], pauses: list[bool]) -> Iterator[tuple[tuple[str, ...], bool, bool]]:
@@ -115,21 +127,32 @@ def body(text: str) -> str:
     return _TAIL.sub("", text)
 
 
-def is_cut(text: str, model: Model, classes: tuple[str, ...] = ()) -> bool:
-    """Does a folded text end inside a word or a sentence, judged by its closing words?
+def is_cut(segments: list[str], model: Model, classes: tuple[str, ...] = (), cache: dict | None = None) -> bool:
+    """Does a text, given by its segments, end inside a word or a sentence, judged by its closing words?
 
     ``classes``: the task's labels; a proper beginning of one that is none itself is cut.
     Text without letters and digits is not cut but empty.
     """
-    text = text.strip()
-    if not _ANY.search(regex.sub(r"<[^<>]*>|\[[^\[\]]*\]", "", text)):
-        return False
-    if _SAYS_CUT.search(text):
+    tail, single = segments[-1], len(segments) == 1
+    wrapped = _WRAPPED.match(segments[0])
+    if wrapped and not tail.endswith("}"):
         return True
-    wrapped = _WRAPPED.match(text)
-    if wrapped and not text.rstrip().endswith("}"):
+    inner = body(tail[wrapped.end() :] if wrapped and single else tail)
+    like = not single and not _FINAL.search(inner) and _sentence_like(" ".join([*segments[:-1], inner]))
+    key = (tail, single, like, classes if single else ())
+    if cache is not None and key in cache:
+        return cache[key]
+    out = _ends_inside(tail, inner, model, classes if single else (), single, like)
+    if cache is not None and len(cache) < 500_000:
+        cache[key] = out
+    return out
+
+
+def _ends_inside(tail: str, inner: str, model: Model, classes: tuple[str, ...], single: bool, like: bool) -> bool:
+    if not _ANY.search(regex.sub(r"<[^<>]*>|\[[^\[\]]*\]", "", tail)):
+        return not single and bool(_SAYS_CUT.search(tail))
+    if _SAYS_CUT.search(tail):
         return True
-    inner = body(text[wrapped.end() :] if wrapped else text)
     if inner.endswith((",", "、", "，", ":", "：", ";")):
         return True
     label = _SIDES.sub("", regex.sub(r"^\W*answer\s*:", "", inner)).strip()
@@ -138,13 +161,13 @@ def is_cut(text: str, model: Model, classes: tuple[str, ...] = ()) -> bool:
             return False
         if label and any(c.startswith(label) for c in classes):
             return True
-    seen = [(w, c) for w, c in zip(model.masked(inner), ("", *map(core, words(inner))), strict=True) if w != "\x03"]
+    seen = [(w, c) for w, c in zip(model.masked(inner, single), ("", *map(core, words(inner))), strict=True) if w != "\x03"]
     masked, last = [w for w, _ in seen], seen[-1][1]
     if len(masked) < 2:
         return False
     ends = bool(_FINAL.search(inner))
     if not ends:
-        if _sentence_like(inner):
+        if like or _sentence_like(inner):
             return True
         item = items(inner)[-1]
         whole, longer = model.items.get(item, 0), model.longer(item)
@@ -181,50 +204,54 @@ def distinct_texts(logs: DataFrame) -> DataFrame:
     return folded.groupBy("task", "g").agg(F.count("*").alias("copies")).withColumn("tid", F.xxhash64("task", "g"))
 
 
-def vocabulary(texts: DataFrame) -> set[str]:
-    """Words of a share of at least 1e-5 of all, so at most 1e5 of them; counted map-side."""
+def vocabulary(texts: DataFrame, tasks: DataFrame) -> set[str]:
+    """Words of a share of at least 1e-5 of all, so at most 1e5 of them, counted map-side; and the words of class labels."""
+    named = tasks.select(F.explode("class_labels").alias("c")).select(F.explode(F.split(F.lower("c"), r"\s+")).alias("w")).distinct().limit(100_001).toPandas()["w"]
+    if len(named) > 100_000:
+        raise ValueError("more than 100,000 words in class labels")
     spread = texts.select("copies", F.explode(F.split("g", " ")).alias("w")).groupBy("w").agg(F.sum("copies").alias("n"))
     total = F.sum("n").over(_everything())
     kept = spread.where((F.length("w") <= 40) & (F.col("n") >= LEAST // 2)).withColumn("all", total).where(F.col("n") >= F.greatest(F.lit(LEAST), F.col("all") * 1e-5))
     found = {core(w) for (w,) in kept.select("w").toPandas().itertuples(index=False) if not _UNSPACED.search(w)}
-    return _Mixed(found - {""} | {MASK} | WORDS)
+    return _Mixed((found | {core(w) for w in named if w}) - {""} | {MASK, "answer"} | WORDS)
 
 
-def patterns(texts: DataFrame, known: set[str]) -> DataFrame:
-    """``tid``, ``task``, ``copies``, ``mk``: the pattern of every distinct text."""
+def learn(texts: DataFrame, known: set[str]) -> Model:
+    """The model from the segments of all texts, each as often as it occurs; counted map-side, rare contexts left out
+    by their share."""
     shared = texts.sparkSession.sparkContext.broadcast(known)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, cache = Model(shared.value), {}
+    def cutup(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made, seen = Patterns(shared.value), Counter()
         for b in batches:
-            yield pd.DataFrame({"tid": b["tid"], "task": b["task"], "copies": b["copies"], "mk": [m.pattern(g, cache) for g in b["g"]]})
-
-    return texts.select("tid", "task", "copies", "g").mapInPandas(run, "tid bigint, task string, copies bigint, mk string")
-
-
-def learn(made: DataFrame, known: set[str]) -> Model:
-    """The model from the patterns of all texts, each as often as it occurs; contexts are counted map-side, rare ones
-    left out by their share."""
-    shared = made.sparkSession.sparkContext.broadcast(known)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for g, k in b.itertuples(index=False):
+                parts = made.of(g)
+                last = len(parts) - 1
+                for j, p in enumerate(parts):
+                    seen[p, j == 0, j == last] += k
+            if len(seen) > 200_000:
+                yield _counted(seen)
+                seen = Counter()
+        yield _counted(seen)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine = Model(shared.value)
         for b in batches:
             all_, end, halt = Counter(), Counter(), Counter()
-            for t, k in b.itertuples(index=False):
-                inner = body(t)
-                for ctx, last, pause in contexts(mine.masked(inner), [w[-1] in ",.;!?、。，" for w in words(inner)]):
+            for t, first, closes, k in b.itertuples(index=False):
+                inner = body(t) if closes else t
+                for ctx, last, pause in contexts(mine.masked(inner, first), [w[-1] in ",.;!?、。，" for w in words(inner)]):
                     all_[ctx] += k
                     if pause:
                         halt[ctx] += k
-                        end[ctx] += k * last
-                if not _FINAL.search(inner) and not _sentence_like(inner):
+                        end[ctx] += k * (last and closes)
+                if first and closes and not _FINAL.search(inner) and not _sentence_like(inner):
                     for x in items(inner):
                         all_["\x04", x] += k
             yield pd.DataFrame({"ctx": ["\x1f".join(c) for c in all_], "n": list(all_.values()), "ends": [end.get(c, 0) for c in all_], "pauses": [halt.get(c, 0) for c in all_]})
 
-    once = made.groupBy("mk").agg(F.sum("copies").alias("copies"))
-    found = once.mapInPandas(run, "ctx string, n bigint, ends bigint, pauses bigint").groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("pauses").alias("pauses"))
+    once = texts.select("g", "copies").mapInPandas(cutup, "seg string, first boolean, closes boolean, n bigint").groupBy("seg", "first", "closes").agg(F.sum("n").alias("n"))
+    found = once.mapInPandas(count, "ctx string, n bigint, ends bigint, pauses bigint").groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("pauses").alias("pauses"))
     least = F.when(F.col("ctx").startswith("\x04"), 2).otherwise(LEAST // 2)
     kept = found.where(F.col("n") >= least).withColumn("all", F.sum("n").over(_everything())).where(F.col("n") >= F.greatest(least, F.col("all") * FLOOR)).select("ctx", "n", "ends", "pauses").toPandas()
     model = Model(known)
@@ -242,6 +269,10 @@ def learn(made: DataFrame, known: set[str]) -> Model:
     return model
 
 
+def _counted(seen: Counter) -> pd.DataFrame:
+    return pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["seg", "first", "closes", "n"])
+
+
 class _Mixed(set):
     """A vocabulary that also holds every single character of a script without blanks."""
 
@@ -260,27 +291,33 @@ def shingles(tokens: list[str]) -> set[int]:
 
 
 _RNG = np.random.default_rng(20240607)
-_A = _RNG.integers(1, 2**31 - 1, BANDS * ROWS, dtype=np.uint64) * 2 + 1
-_B = _RNG.integers(0, 2**31 - 1, BANDS * ROWS, dtype=np.uint64)
+_A = _RNG.integers(1, 2**31 - 1, PLAIN[0] * PLAIN[1], dtype=np.uint64) * 2 + 1
+_B = _RNG.integers(0, 2**31 - 1, PLAIN[0] * PLAIN[1], dtype=np.uint64)
+
 
+def bands(hashes: list[list[int]], shape: tuple[int, int], heads: list[int]) -> np.ndarray:
+    """A row of band keys for each text's (non-empty) shingle hashes, all texts of a batch at once.
 
-def bands(hashes: list[list[int]]) -> np.ndarray:
-    """A row of band keys for each text's (non-empty) shingle hashes; all texts of a batch at once."""
+    ``heads`` go into the keys: an alignment from the start needs equal first words, so no pair is lost by them.
+    """
+    n, rows = shape
     sizes = np.array([len(h) for h in hashes])
     flat = np.fromiter((x for h in hashes for x in h), np.uint64, int(sizes.sum()))
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    keys = np.empty((len(hashes), BANDS), np.int64)
-    for b in range(BANDS):
-        key = np.full(len(hashes), b, np.uint64)
-        for r in range(b * ROWS, (b + 1) * ROWS):
+    head = np.array(heads, np.uint64)
+    keys = np.empty((len(hashes), n), np.int64)
+    for b in range(n):
+        key = head + np.uint64(b)
+        for r in range(b * rows, (b + 1) * rows):
             least = np.minimum.reduceat((flat * _A[r] + _B[r]) & np.uint64(0x7FFFFFFFFFFFFFFF), starts)
             key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ least
         keys[:, b] = (key >> np.uint64(3)).astype(np.int64)
     return keys
 
 
-def telling(text: str, known: set[str], cache: dict[str, str]) -> list[int]:
-    """Hashes of the word shingles that hold a rare word, or of all where none does; [] for a text of fewer words."""
+def telling(text: str, known: set[str], cache: dict[str, str]) -> tuple[list[int], int, bool]:
+    """Hashes of the word shingles that hold a rare word, or of all where none does ([] for a text of fewer words);
+    a hash of the first words; whether any was rare."""
     tokens = []
     for w in words(body(text)):
         c = cache.get(w)
@@ -291,10 +328,11 @@ def telling(text: str, known: set[str], cache: dict[str, str]) -> list[int]:
         tokens.append(c)
     last = len(tokens) - SHINGLE
     if last < 0:
-        return []
-    rare = [k for k, t in enumerate(tokens) if t not in known]
+        return [], 0, False
+    rare = [k for k, t in enumerate(tokens[:-1]) if t not in known]
     at = sorted({j for k in rare for j in range(max(0, k - SHINGLE + 1), min(k, last) + 1)}) or range(last + 1)
-    return [xxhash.xxh32_intdigest(" ".join(tokens[k : k + SHINGLE])) for k in at]
+    head = xxhash.xxh64_intdigest(" ".join(tokens[: SHINGLE - 1]))
+    return [xxhash.xxh32_intdigest(" ".join(tokens[k : k + SHINGLE])) for k in at], head, bool(rare)
 
 
 def ends_early(a: str, b: str) -> bool:
@@ -323,47 +361,51 @@ def aligned(texts: DataFrame, known: set[str]) -> DataFrame:
         m, cache = shared.value, {}
         for b in batches:
             found = [telling(g, m, cache) for g in b["g"]]
-            some = np.array([bool(h) for h in found], bool)
-            if some.any():
-                keys = bands([h for h in found if h])
-                asks = np.array([not _FINAL.search(g) or bool(_SAYS_CUT.search(g)) for g in b["g"][some]])
-                yield pd.DataFrame({"band": keys.ravel(), "tid": np.repeat(b["tid"].to_numpy()[some], BANDS), "asks": np.repeat(asks, BANDS)})
+            for shape, kind in ((BANDED, True), (PLAIN, False)):
+                some = np.array([bool(h) and r is kind for h, _, r in found], bool)
+                if some.any():
+                    mine = [f for f, s in zip(found, some, strict=True) if s]
+                    keys = bands([h for h, _, _ in mine], shape, [x for _, x, _ in mine])
+                    asks = np.array([not _FINAL.search(g) or bool(_SAYS_CUT.search(g)) for g in b["g"][some]])
+                    yield pd.DataFrame({"band": keys.ravel(), "tid": np.repeat(b["tid"].to_numpy()[some], shape[0]), "asks": np.repeat(asks, shape[0])})
 
     keys = write_once(texts.where(F.length("g") >= 12).select("tid", "g").mapInPandas(run, "band bigint, tid bigint, asks boolean"))
     asking = keys.where("asks").select("band", F.col("tid").alias("a"))
-    pairs = asking.join(keys.select("band", F.col("tid").alias("b")), "band").where("a <> b").select("a", "b").distinct()
+    hot = asking.select("band").distinct()
+    pairs = asking.join(keys.join(hot, "band", "left_semi").select("band", F.col("tid").alias("b")), "band").where("a <> b").select("a", "b").distinct()
     ta, tb = texts.select(F.col("tid").alias("a"), F.col("g").alias("ga")), texts.select(F.col("tid").alias("b"), F.col("g").alias("gb"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for a, ga, gb in b.itertuples(index=False):
-                if len(ga) <= len(gb) + 8 and ends_early(ga, gb):
+                if ends_early(ga, gb):
                     p, q = shingles([core(w) for w in words(body(ga))]), shingles([core(w) for w in words(body(gb))])
                     if len(p & q) >= SIMILAR * len(p | q):
                         out.append(a)
             yield pd.DataFrame({"tid": out})
 
-    return pairs.join(ta, "a").join(tb, "b").select("a", "ga", "gb").mapInPandas(verify, "tid bigint").distinct()
+    return pairs.join(ta, "a").join(tb, "b").where("length(ga) <= length(gb) + 24").select("a", "ga", "gb").mapInPandas(verify, "tid bigint").distinct()
 
 
-def scored(made: DataFrame, classes: DataFrame, model: Model) -> DataFrame:
+def scored(texts: DataFrame, tasks: DataFrame, model: Model) -> DataFrame:
     """``tid`` of every text whose closing words show it to be cut."""
-    shared = made.sparkSession.sparkContext.broadcast(model)
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    classes = tasks.select("task", F.transform("class_labels", lambda c: F.lower(F.regexp_replace(c, r"\p{N}", "0"))).alias("classes")).dropDuplicates(["task"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
+        made, cache, lists = Patterns(m.vocabulary), {}, {}
         for b in batches:
-            hit = [is_cut(g, m, tuple(x.lower() for x in c if x) if c is not None else ()) for g, c in zip(b["mk"], b["classes"], strict=True)]
-            yield b.loc[hit, ["task", "mk"]]
-
-    once = made.select("task", "mk").distinct().join(_patterned(classes), "task", "left").select("task", "mk", "classes")
-    return made.join(once.mapInPandas(run, "task string, mk string"), ["task", "mk"], "left_semi").select("tid")
-
+            out = []
+            for tid, task, g, c in b.itertuples(index=False):
+                if task not in lists:
+                    lists[task] = tuple(x for x in c if x) if c is not None else ()
+                if is_cut(made.of(g), m, lists[task], cache):
+                    out.append(tid)
+            yield pd.DataFrame({"tid": out})
 
-def _patterned(classes: DataFrame) -> DataFrame:
-    """Labels as patterns have them, with digits alike."""
-    return classes.select("task", F.transform("classes", lambda c: F.regexp_replace(c, r"\p{N}", "0")).alias("classes"))
+    return texts.join(classes, "task", "left").select("tid", "task", "g", "classes").mapInPandas(run, "tid bigint")
 
 
 _NOT_WORD = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
@@ -409,18 +451,15 @@ def _labelled(text: str, labels: tuple[str, ...]) -> list[tuple[str, str]]:
     return list(zip(parts[1::2], parts[2::2], strict=True))
 
 
-def prepare(rows: DataFrame) -> tuple[DataFrame, DataFrame, Model]:
-    """The distinct texts of ``rows`` and their patterns, both written, and the model that they teach."""
+def prepare(rows: DataFrame, tasks: DataFrame) -> tuple[DataFrame, Model]:
+    """The distinct texts of ``rows``, written, and the model that they teach."""
     texts = write_once(distinct_texts(rows))
-    known = vocabulary(texts)
-    made = write_once(patterns(texts, known))
-    return texts, made, learn(made, known)
+    return texts, learn(texts, vocabulary(texts, tasks))
 
 
-def cut_texts(texts: DataFrame, made: DataFrame, model: Model, tasks: DataFrame) -> DataFrame:
+def cut_texts(texts: DataFrame, model: Model, tasks: DataFrame) -> DataFrame:
     """``tid`` of every distinct text that is cut, by alignment or by its closing words."""
-    classes = tasks.select("task", F.col("class_labels").alias("classes")).dropDuplicates(["task"])
-    return aligned(texts, model.vocabulary).unionByName(scored(made, classes, model)).distinct()
+    return aligned(texts, model.vocabulary).unionByName(scored(texts, tasks, model)).distinct()
 
 
 def truncated(logs: DataFrame, tasks: DataFrame, instances: DataFrame) -> DataFrame:
@@ -429,8 +468,8 @@ def truncated(logs: DataFrame, tasks: DataFrame, instances: DataFrame) -> DataFr
     A copy of the prompt, the input or a whole field is whole, however it ends. Null, empty and letterless
     generations are no case, nor are rows without a log_id.
     """
-    texts, made, model = prepare(logs)
-    return of_logs(logs, cut_texts(texts, made, model, tasks), tasks, instances)
+    texts, model = prepare(logs, tasks)
+    return of_logs(logs, cut_texts(texts, model, tasks), tasks, instances)
 
 
 def of_logs(logs: DataFrame, tids: DataFrame, tasks: DataFrame, instances: DataFrame) -> DataFrame:
