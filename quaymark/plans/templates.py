@@ -1,84 +1,143 @@
-"""Task shapes by name: one to three fields, enumerations, options, variable lengths."""
+"""Task shapes by name, and which task has which.
 
-from __future__ import annotations
-
-from quaymark.plans.grammar import Bare, Field, Items, Owner, Spaced, Template
+Shapes are put together from parts; descriptors and defaults are parameters. A part is ``shared`` if its separator and
+casing are those of the whole template.
+"""
 
-SEP, CASE, WRAP, NUMB = (Owner(k, k, v) for k, v in (("separator", ": "), ("casing", "identity"), ("wrapper", "({})"), ("numbering", "arabic")))
+from __future__ import annotations
 
+import re
 
-def fields(*names: str, output: str = "Output", space: str = "\n", separator: str = ": ", casing: str = "identity", name: str | None = None) -> Template:
-    """Fields with one separator and one casing for all; 16 x 15 x 4 formats however many fields."""
-    parts = [Field(n.lower(), n, separator, casing, "separator", "casing") for n in names]
-    parts.append(Field("output", output, separator, casing, "separator", "casing", output=True))
-    return Template(name or "fields_" + "_".join(n.lower() for n in names), Spaced("all", tuple(parts), space), (Owner("separator", "separator", separator), Owner("casing", "casing", casing)))
+from quaymark.plans.grammar import Bare, Field, Items, Node, Owner, Spaced, Template
 
+_SHARED = {"separator_of": "separator", "casing_of": "casing"}
 
-def _options(n: int, descriptor: str = "", **more) -> Items:
-    return Items("options", descriptor, tuple(range(n)), **({"wrapper_of": "wrapper", "numbering_of": "numbering"} | more))
 
+def _field(name: str, **more) -> Field:
+    return Field(re.sub(r"\W+", "_", name.lower()), name, **(_SHARED | more))
 
-def field_and_bare(name: str, output: str = "Answer") -> Template:
-    """A described field, then bare text."""
-    return Template("field_bare", Spaced("all", (Field("field", name, ": ", "identity", "separator", "casing"), Bare("rest"), Field("output", output, ": ", "identity", "separator", "casing", output=True)), "\n"), (SEP, CASE))
 
+def _answer(name: str = "Answer") -> Field:
+    return Field("output", name, output=True, **_SHARED)
 
-def sentence_question_items(n: int = 2) -> Template:
-    """A sentence, a question and n answers in one block whose items share no separator with the fields: 8,294,400 formats."""
-    parts = (Field("sentence", "Sentence", ": ", "identity", "separator", "casing"), Field("question", "Question", ": ", "identity", "separator", "casing"), Items("answers", "", tuple(range(n)), " ", " ", separator_of=None))
-    return Template(f"sentence_question_{n}", Spaced("all", parts, "\n"), (SEP, CASE), class_template="{enum1}")
 
+def _items(name: str, descriptor: str, items: int | tuple[int, ...], **more) -> Items:
+    """An enumeration; one with a descriptor has the template's casing, unless told otherwise."""
+    places = tuple(range(items)) if isinstance(items, int) else items
+    return Items(name, descriptor, places, **(({"casing_of": "casing", "separator": ": ", "wrapper": "{}"} if descriptor else {}) | more))
 
-def question_options(n: int = 5, article: bool = False, only_blank: bool = False) -> Template:
-    """Fields, and a block of options under its own heading."""
-    head = [Field("article", "Article", ": ", "identity", "separator", "casing")] if article else []
-    head.append(Field("question", "Question", ": ", "identity", "separator", "casing"))
-    block = Spaced("block", (Field("heading", "Options", "\n", "identity", "separator", "casing", with_text=False), Items("options", "", tuple(range(n)), " ", " ")), "" if only_blank else "\n", only_blank)
-    tail = Field("output", "Answer", ": ", "identity", "separator", "casing", output=True)
-    return Template(f"question_options_{n}" + "_article" * article + "_blank" * only_blank, Spaced("all", (*head, block, tail), "\n"), (SEP, CASE), class_template="{enum1}")
 
+def _block(heading: str | None, items: Items, space: str = " ", only_blank: bool = False, field: str | None = None) -> Spaced:
+    """Items under a heading, or after a field."""
+    head: tuple[Node, ...] = (_field(heading, with_text=False),) if heading else (_field(field),) if field else ()
+    return Spaced("block", (*head, items), "" if only_blank else space, only_blank)
 
-def items_and_output(n: int, descriptor: str = "Sentence", variable: tuple[int, ...] = (), picked: tuple[int, ...] | None = None) -> Template:
-    """An enumeration and an answer; ``variable``: the lengths that occur; ``picked``: item numbers that aren't consecutive."""
-    part = Items("items", descriptor, picked or tuple(range(n)), " ", ": ", "{}", "arabic", " ")
-    return Template(f"items_{n}" + "_variable" * bool(variable) + "_picked" * bool(picked), Spaced("all", (part, Field("output", "Answer", ": ", output=True)), "\n"), (), class_template="{enum1}", lengths=variable)
 
+def _template(name: str, *parts: Node, space: str = "\n", separator: str = ": ", classes: str | None = None, searched: tuple[str, ...] | None = None, lengths: tuple[int, ...] = ()) -> Template:
+    return Template(name, Spaced("all", parts, space), (Owner("separator", "separator", separator), Owner("casing", "casing", "identity")), searched, classes, lengths)
 
-def beginning_middle_ending(n: int = 2) -> Template:
-    """A field, n numbered middles and a closing field."""
-    shared = {"separator_of": "separator", "casing_of": "casing"}
-    parts = (Field("beginning", "Beginning", ": ", **shared), Items("middle", "Middle", tuple(range(n)), "\n", ": ", "{}", "arabic", " ", **shared), Field("ending", "Ending", ": ", **shared))
-    return Template(f"beginning_middle_{n}", Spaced("all", parts, "\n"), (SEP, CASE), class_template="{enum1}")
 
+def fields(*names: str, output: str = "Answer", space: str = "\n", separator: str = ": ", name: str | None = None) -> Template:
+    """Fields with one separator and one casing for all: 16 x 15 x 4 formats however many fields."""
+    return _template(name or "_".join(n.lower() for n in names), *map(_field, names), _answer(output), space=space, separator=separator)
 
-def facts_choices(n: int = 5, choices: int = 2, searched: bool = False) -> Template:
-    """Two enumerations with their numbering and wrapper in common; the shared values are searched only if asked."""
-    shared = {"wrapper_of": "wrapper", "numbering_of": "numbering"}
-    parts = (Items("sentences", "Sentence", tuple(range(n)), "\n", ": ", gap=" ", **shared), Items("choices", "", tuple(range(choices)), " ", " ", **shared))
-    return Template(f"facts_{n}_choices_{choices}" + "_searched" * searched, Spaced("all", parts, "\n"), (WRAP, NUMB), None if searched else (), class_template="{enum1}")
 
+_LETTERS = {"numbering": "upper_letter"}
+_BARE_LETTERS = {"separator": " ", "space": " ", "gap": "", **_LETTERS}
 
 CATALOGUE: dict[str, Template] = {
     t.name: t
     for t in (
-        fields("Sentence", output="Answer", name="one_field"),
-        fields("Input", name="input_output"),
-        fields("Passage", "Question", output="Answer", name="two_fields"),
+        fields("Sentence", name="one_field"),
+        fields("Input", output="Output", name="input_output"),
+        fields("Passage", "Question", name="two_fields"),
         fields("TEXT", "QUESTION", output="ANSWER", space=". ", separator=" : ", name="two_fields_upper"),
-        fields("Title", "Passage", "Question", output="Answer", name="three_fields"),
-        field_and_bare("Context"),
-        sentence_question_items(2),
-        question_options(5),
-        question_options(4, article=True),
-        question_options(5, only_blank=True),
-        question_options(3, only_blank=True),
-        items_and_output(4),
-        items_and_output(15, "Fact", variable=tuple(range(2, 16))),
-        items_and_output(10, variable=tuple(range(1, 11))),
-        items_and_output(5, picked=(0, 2, 3, 4)),
-        beginning_middle_ending(2),
-        facts_choices(5, 2),
-        facts_choices(4, 2, searched=True),
-        facts_choices(8, 2, searched=True),
+        fields("Title", "Passage", "Question", name="three_fields"),
+        _template("field_bare", _field("Context"), Bare("rest"), _answer()),
+        _template("sentence_pair", _items("pair", "Sentence", 2), _answer(), space=" \n "),
+        _template("sentence_pair_lettered", _items("pair", "sentence", 2, gap="_", **_LETTERS), _answer(), space=" \n "),
+        _template(
+            "story_titles",
+            _items("sentences", "Sentence", 5, separator_of="separator"),
+            _block("Choices", _items("choices", "", 2, wrapper="{}.", numbering="lower_letter"), only_blank=True),
+            _answer(), space=" ", classes="{enum1}", searched=(),
+        ),
+        _template("question_options_5", _field("Question"), _block("Options", _items("options", "", 5, wrapper="<{}>")), _answer(), space="\n ", classes="{enum1}"),
+        _template("article_question_options_4", _field("Article"), _field("Question"), _block("Options", _items("options", "", 4)), _answer(), classes="{enum1}"),
+        _template("sentence_question_2", _field("Sentence"), _field("Question"), _items("answers", "", 2), _answer(), classes="{enum1}"),
+        Template(
+            "text_options_4",
+            Spaced("all", (Field("text", "", ""), Items("options", "", (0, 1, 2, 3), " ", "", "({})", "upper_letter"), Field("output", "Answer", ": ", output=True)), "\n"),
+            (), None, "{enum1}",
+        ),
+        _template(
+            "passage_facts_variable",
+            _block("Passage", _items("facts", "Fact", 15, separator="- "), only_blank=True),
+            _field("Question"), _field("Reply"), _answer("Final Output"), space=" ", classes="{enum1}", lengths=tuple(range(2, 16)),
+        ),
+        _template(
+            "facts_question_options_8",
+            _items("facts", "Fact", 2, gap="", space=", "), _block(None, _items("options", "", 8, **_LETTERS), field="Question"), _answer(), space=", ", classes="{enum1}",
+        ),
+        _template(
+            "story_gap",
+            _items("sentences", "Sentence", (0, 2, 3, 4), space=" \n "), _items("options", "Option", 2, space=" \n "), _answer(), space=" \n ", classes="Option {enum1}",
+        ),
+        _template("beginning_middle_ending", _field("Beginning"), _items("middle", "Middle", 2), _field("Ending"), _answer(), space=" ", classes="{enum1}"),
+        _template("prompt_completions", _field("Prompt"), _items("completions", "Completion", 2, space=" \n", **_LETTERS), _answer(), space=" \n", classes="Completion {enum1}"),
+        _template(
+            "sentences_variable_options",
+            _items("sentences", "Sentence", 10, gap=""), _block(None, _items("options", "", 2, **_LETTERS)), _answer(), space=" \n ", classes="{enum1}", lengths=tuple(range(1, 11)),
+        ),
+        _template("bare_options_5", Bare("text"), _items("options", "", 5, separator="", **_LETTERS), _answer(), classes="{enum1}"),
+        _template("question_options_5_blank", _field("Question"), _block("Options", _items("options", "", 5, wrapper="{}", **_BARE_LETTERS), only_blank=True), _answer(), space=" \n ", classes="{enum1}"),
+        _template("context_question_options_3", _field("Context"), _field("Question"), _block("Options", _items("options", "", 3, **_BARE_LETTERS), only_blank=True), _answer(), space=" \n ", classes="{enum1}"),
+        _template(
+            "title_sentences_choices",
+            _field("Title"), _items("sentences", "Sentence", 4, separator_of="separator", casing_of=None, gap=" "),
+            _block("Choices", _items("choices", "", 2, separator=". ", wrapper="{}", gap="", numbering="lower_letter"), only_blank=True),
+            _answer(), space=" ", classes="{enum1}",
+        ),
     )
+}
+
+# The numbers of the tasks of each shape.
+TASKS: dict[str, tuple[int, ...]] = {
+    "two_fields": (1661, 27, 136, 21, 18, 20, 740, 1366, 1162, 1587, 491, 492, 50, 1387, 1186, 1283, 1284, 905, 903),
+    "two_fields_upper": (501,),
+    "one_field": (155, 158, 161, 162, 163, 322, 323, 324, 325, 326, 327, 328, 333, 335, 337, 277, 278, 279, 280, 316, 317, 113, 114),
+    "field_bare": (318, 319, 320, 321),
+    "three_fields": (133,),
+    "sentence_pair": (190, 1347),
+    "sentence_pair_lettered": (1612,),
+    "story_titles": (220,),
+    "question_options_5": (1431,),
+    "article_question_options_4": (309,),
+    "sentence_question_2": (1380, 1381),
+    "text_options_4": (697, 729),
+    "passage_facts_variable": (84,),
+    "facts_question_options_8": (1297,),
+    "story_gap": (65,),
+    "beginning_middle_ending": (69, 70),
+    "prompt_completions": (137, 138, 139, 140),
+    "sentences_variable_options": (296, 297),
+    "bare_options_5": (118,),
+    "question_options_5_blank": (1135, 1678, 1419, 1420, 1421, 1422, 1423, 1424),
+    "context_question_options_3": (385, 580),
+    "title_sentences_choices": (213, 214),
 }
+
+
+def template_of(task: str, unformatted: frozenset[int] = frozenset()) -> Template:
+    """The template of a task file's name ('task065_x.json'); input and output for tasks without fields.
+
+    A task that no shape is known for is an error.
+    """
+    found = re.match(r".*?task(\d+)_", task)
+    number = int(found[1]) if found else -1
+    if number in unformatted:
+        return CATALOGUE["input_output"]
+    for name, numbers in TASKS.items():
+        if number in numbers:
+            return CATALOGUE[name]
+    raise KeyError(f"no template for {task}")

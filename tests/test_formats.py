@@ -7,7 +7,7 @@ import pytest
 from quaymark.functions.domains import DOMAINS, cased, number
 from quaymark.operators import formats
 from quaymark.plans.grammar import Compiled, Field, Items, Owner, Spaced, Template
-from quaymark.plans.templates import CATALOGUE
+from quaymark.plans.templates import CATALOGUE, template_of
 
 
 def _reduced(spark, name):
@@ -34,6 +34,21 @@ def test_larger_counts(spark, name, size, count):
     assert _reduced(spark, name) == count  # times 144 for wrapper, numbering and casing
 
 
+@pytest.mark.parametrize(
+    "name,size",
+    [("sentence_pair", 33_177_600), ("story_titles", 5_096_079_360), ("text_options_4", 124_416_000), ("passage_facts_variable", 530_841_600), ("facts_question_options_8", 4_586_471_424_000), ("story_gap", 1_146_617_856_000), ("prompt_completions", 33_177_600), ("bare_options_5", 8_294_400), ("title_sentences_choices", 1_223_059_046_400)],
+)
+def test_space_sizes(name, size):
+    assert CATALOGUE[name].size() == size
+
+
+def test_template_of_a_task():
+    assert template_of("task065_story.json").name == "story_gap" and template_of("task1431_x").name == "question_options_5"
+    assert template_of("task902_x", frozenset({902})).name == "input_output"
+    with pytest.raises(KeyError):
+        template_of("task999_x")
+
+
 def test_own_empty_separator_keeps_the_old_one(spark):
     t = Template("t", Spaced("all", (Field("a", "A", ": "), Field("b", "B", ""))))
     row = spark.range(1).selectExpr("2 as all__space", "0 as a__separator", "0 as a__casing", "0 as b__separator", "0 as b__casing")
@@ -55,7 +70,7 @@ def test_owner_separator_needs_the_items_break(spark):
 
 
 def test_sample_is_distinct_valid_and_bounded(spark):
-    t = CATALOGUE["facts_8_choices_2_searched"]
+    t = CATALOGUE["facts_question_options_8"]
     got = formats.sample(spark, t, 50)
     assert got.count() == 50 and formats.valid(got, t).count() == 50
     assert got.select(*(s.column for s in t.slots())).distinct().count() == 50
