@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaymark.llm.chars import caseless
-from quaymark.llm.copies import _markers, _members
+from quaymark.llm.copies import _markers, _members, canonical
 from quaymark.llm.wording import WORDS
 from quaymark.session import cut as write_once
 
@@ -439,7 +439,10 @@ def is_copy(generation: str, whole: str | None, prompt: str | None, labels: tupl
             sources.append(bare(name) + bare(f))
     if prompt:
         sources.append(bare(prompt))
-    return any(s and len(s) >= 4 and len(g) % len(s) == 0 and g == s * (len(g) // len(s)) for s in sources)
+    if any(s and len(s) >= 4 and len(g) % len(s) == 0 and g == s * (len(g) // len(s)) for s in sources):
+        return True
+    # the whole input with its fields in another order
+    return bool(whole and labels) and len(g) == len(sources[0]) and canonical(generation, labels) == canonical(whole, labels)
 
 
 def _labelled(text: str, labels: tuple[str, ...]) -> list[tuple[str, str]]:
