@@ -38,6 +38,7 @@ _WRAPPED = regex.compile(r"^\s*\{\s*[\"'][\p{L}_]+[\"']\s*:\s*[\"']?")
 _FINAL = regex.compile(r"[.!?。！？।؟…][\"'”’»›“)\]）」』\s]*$")
 _LIST = regex.compile(r"[,;]\s+|[、，]\s*")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+_STOPS = ".!?。！？"
 _ANY = regex.compile(r"[\p{L}\p{N}]")
 
 
@@ -93,7 +94,11 @@ class Patterns:
 
     def _word(self, w: str) -> str:
         c = core(w)
-        out = regex.sub(r"\p{N}", "0", w) if not c or c in self.known or _UNSPACED.search(w) else w.replace(_SIDES.sub("", w), MASK)
+        if not c or c in self.known or _UNSPACED.search(w):
+            out = regex.sub(r"\p{N}", "0", w)
+        else:  # a name, or a number, whose length tells nothing
+            inner = _SIDES.sub("", w)
+            out = w.replace(inner, MASK if any(x.isalpha() for x in inner) else "0")
         if len(self.cache) < self.most:
             self.cache[w] = out
         return out
@@ -106,7 +111,7 @@ class Patterns:
             ws = part.split()
             if not ws:
                 continue
-            keep = regex.sub(r"\p{N}", "0", ws.pop()) if k == len(parts) - 1 and not _FINAL.search(body(part)) else None
+            keep = regex.sub(r"\p{N}", "0", ws.pop()) if k == len(parts) - 1 and not final(body(part)) else None
             masked = [cache.get(w) or self._word(w) for w in ws]
             out.append(" ".join(masked if keep is None else [*masked, keep]))
         return out or [""]
@@ -124,9 +129,18 @@ def contexts(masked: list[str], pauses: list[bool]) -> Iterator[tuple[tuple[str,
 
 def body(text: str) -> str:
     """Without what may follow a cut: blanks, dots, dashes, marks of truncation."""
+    if not text or text[-1].isalnum() or text[-1] in _STOPS and text[-2:-1].isalnum():
+        return text
     return _TAIL.sub("", text)
 
 
+def final(text: str) -> bool:
+    """Does the text end with a final mark, closing signs aside?"""
+    if not text or text[-1].isalnum():
+        return False
+    return text[-1] in _STOPS + "…" or bool(_FINAL.search(text[-12:]))
+
+
 def is_cut(segments: list[str], model: Model, classes: tuple[str, ...] = (), cache: dict | None = None) -> bool:
     """Does a text, given by its segments, end inside a word or a sentence, judged by its closing words?
 
@@ -138,7 +152,7 @@ def is_cut(segments: list[str], model: Model, classes: tuple[str, ...] = (), cac
     if wrapped and not tail.endswith("}"):
         return True
     inner = body(tail[wrapped.end() :] if wrapped and single else tail)
-    like = not single and not _FINAL.search(inner) and _sentence_like(" ".join([*segments[:-1], inner]))
+    like = not single and not final(inner) and _sentence_like(" ".join([*segments[:-1], inner]))
     key = (tail, single, like, classes if single else ())
     if cache is not None and key in cache:
         return cache[key]
@@ -165,7 +179,7 @@ def _ends_inside(tail: str, inner: str, model: Model, classes: tuple[str, ...],
     masked, last = [w for w, _ in seen], seen[-1][1]
     if len(masked) < 2:
         return False
-    ends = bool(_FINAL.search(inner))
+    ends = final(inner)
     if not ends:
         if like or _sentence_like(inner):
             return True
@@ -245,7 +259,7 @@ def learn(texts: DataFrame, known: set[str]) -> Model:
                     if pause:
                         halt[ctx] += k
                         end[ctx] += k * (last and closes)
-                if first and closes and not _FINAL.search(inner) and not _sentence_like(inner):
+                if first and closes and not final(inner) and not _sentence_like(inner):
                     for x in items(inner):
                         all_["\x04", x] += k
             yield pd.DataFrame({"ctx": ["\x1f".join(c) for c in all_], "n": list(all_.values()), "ends": [end.get(c, 0) for c in all_], "pauses": [halt.get(c, 0) for c in all_]})
@@ -315,9 +329,10 @@ def bands(hashes: list[list[int]], shape: tuple[int, int], heads: list[int]) ->
     return keys
 
 
-def telling(text: str, known: set[str], cache: dict[str, str]) -> tuple[list[int], int, bool]:
+def telling(text: str, known: set[str], cache: dict[str, str]) -> tuple[list[int], int, bool, int, int, int]:
     """Hashes of the word shingles that hold a rare word, or of all where none does ([] for a text of fewer words);
-    a hash of the first words; whether any was rare."""
+    a hash of the first words; whether any was rare; the number of words, a power of two of at most 0.79 of them, and a
+    hash of the first so many."""
     tokens = []
     for w in words(body(text)):
         c = cache.get(w)
@@ -328,11 +343,13 @@ def telling(text: str, known: set[str], cache: dict[str, str]) -> tuple[list[int
         tokens.append(c)
     last = len(tokens) - SHINGLE
     if last < 0:
-        return [], 0, False
+        return [], 0, False, 0, 0, 0
     rare = [k for k, t in enumerate(tokens[:-1]) if t not in known]
     at = sorted({j for k in rare for j in range(max(0, k - SHINGLE + 1), min(k, last) + 1)}) or range(last + 1)
     head = xxhash.xxh64_intdigest(" ".join(tokens[: SHINGLE - 1]))
-    return [xxhash.xxh32_intdigest(" ".join(tokens[k : k + SHINGLE])) for k in at], head, bool(rare)
+    level = 1 << (int(0.79 * len(tokens))).bit_length() - 1
+    half = xxhash.xxh32_intdigest(" ".join(tokens[:level]))
+    return [xxhash.xxh32_intdigest(" ".join(tokens[k : k + SHINGLE])) for k in at], head, bool(rare), len(tokens), level, half
 
 
 def ends_early(a: str, b: str) -> bool:
@@ -362,17 +379,20 @@ def aligned(texts: DataFrame, known: set[str]) -> DataFrame:
         for b in batches:
             found = [telling(g, m, cache) for g in b["g"]]
             for shape, kind in ((BANDED, True), (PLAIN, False)):
-                some = np.array([bool(h) and r is kind for h, _, r in found], bool)
+                some = np.array([bool(f[0]) and f[2] is kind for f in found], bool)
                 if some.any():
-                    mine = [f for f, s in zip(found, some, strict=True) if s]
-                    keys = bands([h for h, _, _ in mine], shape, [x for _, x, _ in mine])
-                    asks = np.array([not _FINAL.search(g) or bool(_SAYS_CUT.search(g)) for g in b["g"][some]])
-                    yield pd.DataFrame({"band": keys.ravel(), "tid": np.repeat(b["tid"].to_numpy()[some], shape[0]), "asks": np.repeat(asks, shape[0])})
+                    hashes, heads, _, sizes, levels, halves = zip(*(f for f, s in zip(found, some, strict=True) if s), strict=True)
+                    asks = np.array([not final(g) or bool(_SAYS_CUT.search(g)) for g in b["g"][some]])
+                    each = {"tid": b["tid"].to_numpy()[some], "asks": asks, "size": np.array(sizes, np.int32), "level": np.array(levels, np.int32), "half": np.array(halves, np.int64)}
+                    yield pd.DataFrame({"band": bands(list(hashes), shape, list(heads)).ravel(), **{k: np.repeat(v, shape[0]) for k, v in each.items()}})
 
-    keys = write_once(texts.where(F.length("g") >= 12).select("tid", "g").mapInPandas(run, "band bigint, tid bigint, asks boolean"))
-    asking = keys.where("asks").select("band", F.col("tid").alias("a"))
+    keys = write_once(texts.where(F.length("g") >= 12).select("tid", "g").mapInPandas(run, "band bigint, tid bigint, asks boolean, size int, level int, half bigint"))
+    asking = keys.where("asks").select("band", F.col("tid").alias("a"), F.col("size").alias("na"), F.col("level").alias("la"), F.col("half").alias("ha"))
     hot = asking.select("band").distinct()
-    pairs = asking.join(keys.join(hot, "band", "left_semi").select("band", F.col("tid").alias("b")), "band").where("a <> b").select("a", "b").distinct()
+    both = asking.join(keys.join(hot, "band", "left_semi"), "band")
+    # what a similar copy that ends early must have: few words less, and the same first ones where both were hashed
+    able = (F.col("a") != F.col("tid")) & (F.col("na") <= F.col("size")) & (F.col("na") - SHINGLE + 1 >= SIMILAR * (F.col("size") - SHINGLE + 1)) & ((F.col("la") != F.col("level")) | (F.col("ha") == F.col("half")))
+    pairs = both.where(able).select("a", F.col("tid").alias("b")).distinct()
     ta, tb = texts.select(F.col("tid").alias("a"), F.col("g").alias("ga")), texts.select(F.col("tid").alias("b"), F.col("g").alias("gb"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -481,14 +501,15 @@ def of_logs(logs: DataFrame, tids: DataFrame, tasks: DataFrame, instances: DataF
     hits = rows.withColumn("tid", F.xxhash64("task", fold(F.col("generation")))).join(tids, "tid", "left_semi").drop("tid").withColumn("again", may_repeat(F.col("generation"), F.col("full_prompt_string")))
     given = instances.select("instance_id", "input").dropDuplicates(["instance_id"])
     labels = tasks.select("task", F.col("field_labels").alias("labels")).dropDuplicates(["task"])
-    asked = hits.where("again").join(given, "instance_id", "left").join(labels, "task", "left").select("log_id", "generation", "full_prompt_string", "input", "labels")
+    asked = hits.withColumn("prompt", F.when(F.col("again"), F.col("full_prompt_string"))).withColumn("wanted", F.when(F.col("again"), F.col("instance_id")))
+    asked = asked.join(given.withColumnRenamed("instance_id", "wanted"), "wanted", "left").join(labels, "task", "left").select("log_id", "again", "generation", "prompt", "input", "labels")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [k for k, g, p, i, la in b.itertuples(index=False) if not is_copy(g, i, p, tuple(x for x in la if x) if la is not None else ())]
+            out = [k for k, again, g, p, i, la in b.itertuples(index=False) if not (again and is_copy(g, i, p, tuple(x for x in la if x) if la is not None else ()))]
             yield pd.DataFrame({"log_id": out})
 
-    return hits.where("not again").select("log_id").unionByName(asked.mapInPandas(run, "log_id bigint")).distinct()
+    return asked.mapInPandas(run, "log_id bigint").distinct()
 
 
 def may_repeat(text: F.Column, given: F.Column) -> F.Column:
