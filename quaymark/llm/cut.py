@@ -223,9 +223,9 @@ def vocabulary(texts: DataFrame, tasks: DataFrame) -> set[str]:
     named = tasks.select(F.explode("class_labels").alias("c")).select(F.explode(F.split(F.lower("c"), r"\s+")).alias("w")).distinct().limit(100_001).toPandas()["w"]
     if len(named) > 100_000:
         raise ValueError("more than 100,000 words in class labels")
-    spread = texts.select("copies", F.explode(F.split("g", " ")).alias("w")).groupBy("w").agg(F.sum("copies").alias("n"))
-    total = F.sum("n").over(_everything())
-    kept = spread.where((F.length("w") <= 40) & (F.col("n") >= LEAST // 2)).withColumn("all", total).where(F.col("n") >= F.greatest(F.lit(LEAST), F.col("all") * 1e-5))
+    spread = write_once(texts.select("copies", F.explode(F.split("g", " ")).alias("w")).groupBy("w").agg(F.sum("copies").alias("n")))
+    total = spread.agg(F.sum("n")).first()[0] or 0
+    kept = spread.where((F.length("w") <= 40) & (F.col("n") >= max(LEAST, total * 1e-5)))
     found = {core(w) for (w,) in kept.select("w").toPandas().itertuples(index=False) if not _UNSPACED.search(w)}
     return _Mixed((found | {core(w) for w in named if w}) - {""} | {MASK, "answer"} | WORDS)
 
@@ -267,7 +267,9 @@ def learn(texts: DataFrame, known: set[str]) -> Model:
     once = texts.select("g", "copies").mapInPandas(cutup, "seg string, first boolean, closes boolean, n bigint").groupBy("seg", "first", "closes").agg(F.sum("n").alias("n"))
     found = once.mapInPandas(count, "ctx string, n bigint, ends bigint, pauses bigint").groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("pauses").alias("pauses"))
     least = F.when(F.col("ctx").startswith("\x04"), 2).otherwise(LEAST // 2)
-    kept = found.where(F.col("n") >= least).withColumn("all", F.sum("n").over(_everything())).where(F.col("n") >= F.greatest(least, F.col("all") * FLOOR)).select("ctx", "n", "ends", "pauses").toPandas()
+    found = write_once(found)
+    total = found.agg(F.sum("n")).first()[0] or 0
+    kept = found.where((F.col("n") >= least) & (F.col("n") >= total * FLOOR)).select("ctx", "n", "ends", "pauses").toPandas()
     model = Model(known)
     after = defaultdict(list)
     for ctx, n, ends, pauses in kept.itertuples(index=False):
@@ -294,12 +296,6 @@ class _Mixed(set):
         return set.__contains__(self, w) or len(w) == 1 and bool(regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]", w))
 
 
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-
 def shingles(tokens: list[str]) -> set[int]:
     return {xxhash.xxh32_intdigest(" ".join(tokens[k : k + SHINGLE])) for k in range(len(tokens) - SHINGLE + 1)}
 
