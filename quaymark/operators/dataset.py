@@ -15,9 +15,19 @@ def digest(*parts: Column | str, seed: str = "0") -> Column:
 
 
 def permuted(df: DataFrame, seed: str = "0", by: str = "task", key: str = "instance_id") -> DataFrame:
-    """With ``place``: a permutation of each task's rows from 0, by the digest of the seed and the key; ties by key."""
-    order = Window.partitionBy(by).orderBy(digest(F.col(key).cast("string"), seed=seed), key)
-    return df.withColumn("place", F.row_number().over(order).cast("bigint") - 1)
+    """With ``place``: a permutation of each task's rows from 0, by the digest of the seed and the key; ties by key.
+
+    Rows are ranked within (task, first digits of the digest) and shifted by the counts of the lesser ones, so a
+    task that holds most rows is sorted in thousands of pieces and not by one worker.
+    """
+    d = digest(F.col(key).cast("string"), seed=seed)
+    rows = df.withColumn("_d", d).withColumn("_b", F.substring("_d", 1, 3)).withColumn("_g", F.struct(F.col(by)))
+    counts = rows.groupBy("_g", "_b").agg(F.count("*").alias("n"))
+    below = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select("_g", "_b", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("_shift"))
+    local = F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_d", key))
+    ranked = rows.withColumn("_n", local)
+    return ranked.join(shift, ["_g", "_b"]).withColumn("place", (F.col("_shift") + F.col("_n") - 1).cast("bigint")).drop("_g", "_b", "_d", "_n", "_shift")
 
 
 def split(df: DataFrame, pool: int = POOL) -> DataFrame:

@@ -44,8 +44,9 @@ def extract(df: DataFrame, templates: dict[int | None, str], text: str = "input"
 
 def first_parsed(extracted: DataFrame, n: int, by: str = "task", order: str = "pos") -> DataFrame:
     """The first ``n`` rows of each task that were parsed, numbered from 0 in ``eval_pos``."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    return extracted.where("fields is not null").withColumn("eval_pos", rank).where(F.col("eval_pos") < n)
+    # each map task keeps the first n of a task before anything is shuffled
+    ranked = extracted.where("fields is not null").withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_rank") <= n)
+    return ranked.withColumn("eval_pos", F.col("_rank") - 1).drop("_rank")
 
 
 def unparsed(extracted: DataFrame, key: str, text: str = "input") -> DataFrame:

@@ -456,7 +456,7 @@ def ucb_scores(spark: SparkSession, d: str) -> DataFrame:
 @query("thompson_run")
 def thompson_run(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("node_id").orderBy("task", "dataset_idx", "log_id")
-    log = table(spark, d, "logs").dropDuplicates(["log_id"]).withColumn("eval_pos", F.row_number().over(order) - 1).where("eval_pos < 1000")
+    log = table(spark, d, "logs").dropDuplicates(["log_id"]).withColumn("rank", F.row_number().over(order)).where("rank <= 1000").withColumn("eval_pos", F.col("rank") - 1)
     names, grid = search.outcomes(log)
     found = search.two_phases(names, grid, 400 * 20, 20, seed=7)
     return spark.createDataFrame(found.trace, "phase string, step int, node_id string, successes bigint, trials bigint, best_so_far string")

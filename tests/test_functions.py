@@ -94,3 +94,12 @@ def test_argmax_ties(spark):
 def test_final_node_ties(spark):
     arms = spark.createDataFrame([("a", 1, 2), ("b", 2, 4), ("c", 0, 0)], "node_id string, successes int, trials int")
     assert scoring.final_node(arms, True).first().node_id == "b" and scoring.final_node(arms, False).first().node_id == "a"
+
+
+def test_permutation_is_a_bijection_for_any_task(spark):
+    rows = spark.range(3000).selectExpr("id as instance_id", "case when id % 3 = 0 then null when id % 50 = 1 then 'b' else 'a' end as task", "'clash' as place_")
+    out = dataset.permuted(rows).toPandas()
+    assert len(out) == 3000
+    for _, part in out.groupby("task", dropna=False):
+        assert sorted(part["place"]) == list(range(len(part)))
+    assert dataset.permuted(rows.limit(0)).count() == 0
