@@ -44,7 +44,7 @@ _ANY = regex.compile(r"[\p{L}\p{N}]")
 
 def words(text: str) -> list[str]:
     """Words with what is attached to them; each character of scripts without blanks."""
-    return _WORD.findall(text)
+    return text.split() if text.isascii() or not _UNSPACED.search(text) else _WORD.findall(text)
 
 
 def core(word: str) -> str:
@@ -79,8 +79,18 @@ class Model:
             k += 1
         return total
 
+    seen: dict[str, str] = field(default_factory=dict, repr=False)
+
     def masked(self, segment: str, first: bool = True) -> list[str]:
-        return [START if first else NEXT, *(c if (c := core(w)) in self.vocabulary else (MASK if c else "\x03") for w in words(segment))]
+        seen = self.seen
+        return [START if first else NEXT, *(seen.get(w) or self._mask(w) for w in words(segment))]
+
+    def _mask(self, word: str) -> str:
+        c = core(word)
+        out = c if c in self.vocabulary else MASK if c else "\x03"
+        if len(self.seen) < 100_000:
+            self.seen[word] = out
+        return out
 
 
 class Patterns:
@@ -89,7 +99,7 @@ class Patterns:
     Generations are made from few patterns, so what is worked out for a segment is worked out once per worker.
     """
 
-    def __init__(self, known: set[str], most: int = 500_000) -> None:
+    def __init__(self, known: set[str], most: int = 200_000) -> None:
         self.known, self.cache, self.most = known, {}, most
 
     def _word(self, w: str) -> str:
@@ -157,7 +167,7 @@ def is_cut(segments: list[str], model: Model, classes: tuple[str, ...] = (), cac
     if cache is not None and key in cache:
         return cache[key]
     out = _ends_inside(tail, inner, model, classes if single else (), single, like)
-    if cache is not None and len(cache) < 500_000:
+    if cache is not None and len(cache) < 100_000:
         cache[key] = out
     return out
 
@@ -334,7 +344,7 @@ def telling(text: str, known: set[str], cache: dict[str, str]) -> tuple[list[int
         c = cache.get(w)
         if c is None:
             c = core(w)
-            if len(cache) < 500_000:
+            if len(cache) < 100_000:
                 cache[w] = c
         tokens.append(c)
     last = len(tokens) - SHINGLE
@@ -354,7 +364,7 @@ def ends_early(a: str, b: str) -> bool:
     p, q = words(x), words(y)
     if len(p) > len(q) or not p:
         return False
-    if [core(w) for w in p[:-1]] != [core(w) for w in q[: len(p) - 1]]:
+    if any(v != w and core(v) != core(w) for v, w in zip(p[:-1], q, strict=False)):
         return False
     last, there = core(p[-1]), core(q[len(p) - 1])
     if last != there:
@@ -497,7 +507,8 @@ def of_logs(logs: DataFrame, tids: DataFrame, tasks: DataFrame, instances: DataF
     hits = rows.withColumn("tid", F.xxhash64("task", fold(F.col("generation")))).join(tids, "tid", "left_semi").drop("tid").withColumn("again", may_repeat(F.col("generation"), F.col("full_prompt_string")))
     given = instances.select("instance_id", "input").dropDuplicates(["instance_id"])
     labels = tasks.select("task", F.col("field_labels").alias("labels")).dropDuplicates(["task"])
-    asked = hits.withColumn("prompt", F.when(F.col("again"), F.col("full_prompt_string"))).withColumn("wanted", F.when(F.col("again"), F.col("instance_id")))
+    # the input is only needed by what may repeat it; the others look for one that isn't there, each its own
+    asked = hits.withColumn("prompt", F.when(F.col("again"), F.col("full_prompt_string"))).withColumn("wanted", F.when(F.col("again"), F.col("instance_id")).otherwise(F.xxhash64("log_id")))
     asked = asked.join(given.withColumnRenamed("instance_id", "wanted"), "wanted", "left").join(labels, "task", "left").select("log_id", "again", "generation", "prompt", "input", "labels")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

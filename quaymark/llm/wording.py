@@ -20,3 +20,5 @@ ITSELF = regex.compile(
 WORDS = frozenset(regex.findall(r"\p{L}{3,}", DECLINES.pattern + " " + ITSELF.pattern)) | frozenset(
     w.replace("'", sign) for w in ("can't", "won't", "i'm", "i'll", "i've", "i'd", "j'ai", "m'est") for sign in "'’"
 )
+#: All words of these patterns; a text without any can't match them.
+CUES = WORDS | frozenset(regex.findall(r"\p{L}+", DECLINES.pattern + " " + ITSELF.pattern))
