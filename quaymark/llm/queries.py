@@ -63,7 +63,7 @@ def p3_consistent(spark: SparkSession, d: str) -> DataFrame:
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     tasks = table(spark, d, "tasks").select("task", F.col("input_language").alias("lang")).dropDuplicates(["task"])
-    return table(spark, d, "instances").join(tasks, "task", "left").select("instance_id", "lang", F.col("input").alias("text"))
+    return table(spark, d, "instances").select("instance_id", "task", F.col("input").alias("text")).join(tasks, "task", "left").select("instance_id", "lang", "text")
 
 
 @query("p6_found")
