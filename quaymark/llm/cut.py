@@ -230,13 +230,13 @@ def distinct_texts(logs: DataFrame) -> DataFrame:
 
 def vocabulary(texts: DataFrame, tasks: DataFrame) -> set[str]:
     """Words of a share of at least 1e-5 of all, so at most 1e5 of them, counted map-side; and the words of class labels."""
-    named = tasks.select(F.explode("class_labels").alias("c")).select(F.explode(F.split(F.lower("c"), r"\s+")).alias("w")).distinct().limit(100_001).toPandas()["w"]
+    named = tasks.select(F.explode("class_labels").alias("c")).select(F.explode(F.split(F.lower("c"), r"\s+")).alias("w")).distinct().limit(100_001).toArrow().to_pandas()["w"]
     if len(named) > 100_000:
         raise ValueError("more than 100,000 words in class labels")
     spread = write_once(texts.select("copies", F.explode(F.split("g", " ")).alias("w")).groupBy("w").agg(F.sum("copies").alias("n")))
     total = spread.agg(F.sum("n")).first()[0] or 0
     kept = spread.where((F.length("w") <= 40) & (F.col("n") >= max(LEAST, total * 1e-5)))
-    found = {core(w) for (w,) in kept.select("w").toPandas().itertuples(index=False) if not _UNSPACED.search(w)}
+    found = {core(w) for (w,) in kept.select("w").toArrow().to_pandas().itertuples(index=False) if not _UNSPACED.search(w)}
     return _Mixed((found | {core(w) for w in named if w}) - {""} | {MASK, "answer"} | WORDS)
 
 
@@ -279,7 +279,7 @@ def learn(texts: DataFrame, known: set[str]) -> Model:
     least = F.when(F.col("ctx").startswith("\x04"), 2).otherwise(LEAST // 2)
     found = write_once(found)
     total = found.agg(F.sum("n")).first()[0] or 0
-    kept = found.where((F.col("n") >= least) & (F.col("n") >= total * FLOOR)).select("ctx", "n", "ends", "pauses").toPandas()
+    kept = found.where((F.col("n") >= least) & (F.col("n") >= total * FLOOR)).select("ctx", "n", "ends", "pauses").toArrow().to_pandas()
     model = Model(known)
     after = defaultdict(list)
     for ctx, n, ends, pauses in kept.itertuples(index=False):
