@@ -503,12 +503,16 @@ def truncated(logs: DataFrame, tasks: DataFrame, instances: DataFrame) -> DataFr
 
 def of_logs(logs: DataFrame, tids: DataFrame, tasks: DataFrame, instances: DataFrame) -> DataFrame:
     """The log rows of cut texts, without those that only copy what they were given."""
-    rows = logs.select(F.col("log_id").cast("bigint").alias("log_id"), "task", "instance_id", "generation", "full_prompt_string").where("log_id is not null and generation is not null")
-    hits = rows.withColumn("tid", F.xxhash64("task", fold(F.col("generation")))).join(tids, "tid", "left_semi").drop("tid").withColumn("again", may_repeat(F.col("generation"), F.col("full_prompt_string")))
+    rows = logs.select(F.col("log_id").cast("bigint").alias("log_id"), "task", "instance_id", "generation", F.col("full_prompt_string").alias("prompt")).where("log_id is not null and generation is not null")
+    # texts only travel where a copy is possible: every other row goes through the join as two numbers
+    again = (F.length("generation") >= 4) & may_repeat(F.col("generation"), F.col("prompt"))
+    slim = rows.select("log_id", "task", F.xxhash64("task", fold(F.col("generation"))).alias("tid"), again.alias("again"), "instance_id", "generation", "prompt")
+    slim = slim.select("log_id", "tid", "again", *(F.when(F.col("again"), F.col(c)).alias(c) for c in ("task", "instance_id", "generation", "prompt")))
+    hits = slim.join(tids, "tid", "left_semi").drop("tid")
     given = instances.select("instance_id", "input").dropDuplicates(["instance_id"])
     labels = tasks.select("task", F.col("field_labels").alias("labels")).dropDuplicates(["task"])
-    # the input is only needed by what may repeat it; the others look for one that isn't there, each its own
-    asked = hits.withColumn("prompt", F.when(F.col("again"), F.col("full_prompt_string"))).withColumn("wanted", F.when(F.col("again"), F.col("instance_id")).otherwise(F.xxhash64("log_id")))
+    # what needs no input looks for one that isn't there, each its own, so that nulls don't meet in one task
+    asked = hits.withColumn("wanted", F.when(F.col("again"), F.col("instance_id")).otherwise(F.xxhash64("log_id")))
     asked = asked.join(given.withColumnRenamed("instance_id", "wanted"), "wanted", "left").join(labels, "task", "left").select("log_id", "again", "generation", "prompt", "input", "labels")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
