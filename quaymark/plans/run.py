@@ -66,25 +66,38 @@ def chosen(spark: SparkSession, s: Settings) -> DataFrame:
 
 
 def prepared(instances: DataFrame, s: Settings, original: str | None = None) -> DataFrame:
-    """Parsed rows of the task in their order: part, dataset_idx, fields, answer.
+    """Parsed rows of the task in their order: part, dataset_idx, fields, answer; and ``eval_pos``, counted over the
+    parsed rows of each part, so that what can't be parsed takes no sample's and no demonstration's place.
 
     ``original``: the format the inputs are written in, up to the answer; without one the whole input is the field.
     """
     rows = dataset.split(dataset.permuted(instances.where(F.col("task") == s.task), s.seed), s.pool)
     rows = extract.extract(rows, {None: original}) if original else rows.withColumn("fields", F.array("input"))
     rows = rows.where(F.col("fields").isNotNull() & (F.size("output") == 1))
-    return rows.withColumn("answer", F.try_element_at("output", F.lit(1)))
+    rows = rows.withColumn("answer", F.try_element_at("output", F.lit(1)))
+    most = max(s.samples, s.n_shot)
+    parts = [extract.first_parsed(rows.where(F.col("part") == p), most, order="dataset_idx") for p in ("demo", "test")]
+    return parts[0].unionByName(parts[1])
 
 
 def answered(spark: SparkSession, instances: DataFrame, definition: str, s: Settings, classes: list[str] | None, factory: Callable | None = None, original: str | None = None) -> DataFrame:
     """A log row for every format and test row: node_id, node, eval_pos, generation, answer, output_classes."""
     s.check()
+    ranked = s.metric == "probability_ranking"
+    if ranked and (factory is None or not classes):
+        raise ValueError("ranking needs a model that gives logits, and classes")
     rows = prepared(instances, s, original)
     nodes = chosen(spark, s).withColumn("task", F.lit(s.task)).withColumn("instruction", F.lit(definition))
-    test = dataset.interval(rows.where("part = 'test'").withColumn("eval_pos", F.col("dataset_idx")), 0, s.samples)
-    blocks = prompts.demo_block(nodes, rows.where("part = 'demo'"), s.n_shot) if s.n_shot else None
+    test = dataset.interval(rows.where("part = 'test'"), 0, s.samples)
+    demos = rows.where("part = 'demo'").withColumn("place", F.col("eval_pos")).where(F.col("place") < s.n_shot)
+    if s.n_shot and (found := demos.count()) < s.n_shot:
+        raise ValueError(f"{found} of {s.n_shot} demonstrations")
+    blocks = prompts.demo_block(nodes, demos, s.n_shot) if s.n_shot else None
     asked = prompts.full_prompts(nodes, test, blocks).join(test.select("dataset_idx", "eval_pos", "instance_id", "answer"), "dataset_idx").join(nodes.select("node_id", "node"), "node_id")
     asked = asked.withColumn("output_classes", F.array(*map(F.lit, classes)) if classes else F.array("answer"))
+    if ranked:
+        logits = model.rank_classes(asked, factory)
+        return logits.withColumn("generation", F.element_at("output_classes", (scoring.argmax(F.col("logits"), last=False) + 1).cast("int")))
     if factory is None:
         return asked.withColumn("generation", model.mock("node", F.col("instance_id").cast("string"), F.col("answer"), F.col("output_classes")))
     return model.generate(asked, factory)
@@ -93,8 +106,13 @@ def answered(spark: SparkSession, instances: DataFrame, definition: str, s: Sett
 def run(spark: SparkSession, instances: DataFrame, definition: str, s: Settings, classes: list[str] | None = None, factory: Callable | None = None, original: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Accuracy of every node evaluated, and the best and worst; on a budget only what it paid for is played."""
     log = answered(spark, instances, definition, s, classes, factory, original)
+    if s.metric == "probability_ranking":  # the answer is one of the classes: right if it is the expected one
+        log = log.withColumn("is_right", F.col("generation").eqNullSafe(F.col("answer")))
+        log = log.withColumn("is_wrong", ~F.col("is_right")).withColumn("is_other", F.lit(False))
+    else:
+        log = scoring.scored(log)
     if s.budget is None:
-        acc = scoring.accuracy(scoring.scored(log), "node_id", "node")
+        acc = scoring.accuracy(log, "node_id", "node")
         return acc, scoring.best_worst(acc)
     names, grid = search.outcomes(log)
     found = search.two_phases(names, grid, s.budget, s.batch, int(s.seed) if s.seed.isdigit() else 0)

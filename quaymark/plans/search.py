@@ -22,7 +22,7 @@ def outcomes(log: DataFrame, most: int = 4_000_000) -> tuple[list[str], np.ndarr
 
     The matrix has a byte a cell; a larger one than ``most`` is refused, as it is held on the driver.
     """
-    rows = scored(log).groupBy("node_id", "eval_pos").agg(F.max("is_right").alias("hit"))
+    rows = (log if "is_right" in log.columns else scored(log)).groupBy("node_id", "eval_pos").agg(F.max("is_right").alias("hit"))
     size = rows.agg(F.countDistinct("node_id").alias("a"), F.max("eval_pos").alias("n")).first()
     if size.a * ((size.n or 0) + 1) > most:
         raise ValueError("too many outcomes to search on the driver")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
-from quaymark.plans.run import Settings, run
+from quaymark.plans.run import Settings, answered, run
 from quaymark.plans.templates import CATALOGUE
 from quaymark.sources.tables import table
 
@@ -24,3 +26,38 @@ def test_run(spark, more):
 def test_guards(more):
     with pytest.raises(ValueError):
         Settings(TASK, CATALOGUE["input_output"], **more).check()
+
+
+def _inputs(spark, bad):
+    rows = [(k, TASK, f"Text {k}" if bad(k) else f"Text: a{k}", ["Yes"] if k % 7 else ["Yes", "No"]) for k in range(200)]
+    return spark.createDataFrame(rows, "instance_id bigint, task string, input string, output array<string>")
+
+
+def test_unparsed_rows_take_no_place(spark):
+    """Of 200 rows a third can't be parsed; samples and demonstrations are still whole."""
+    s = Settings(TASK, CATALOGUE["input_output"], samples=60, n_shot=2, formats=2)
+    log = answered(spark, _inputs(spark, lambda k: k % 3 == 0), "DEF", s, ["Yes", "No"], original="Text: {}").select("node_id", "eval_pos", "prompt").collect()
+    assert {n: sorted(r.eval_pos for r in log if r.node_id == n) for n in {r.node_id for r in log}} == dict.fromkeys({r.node_id for r in log}, list(range(60)))
+    assert all(len(re.findall(r"a[0-9]+", r.prompt)) == 3 for r in log)
+    with pytest.raises(ValueError, match="demonstrations"):
+        answered(spark, _inputs(spark, lambda k: True), "DEF", s, ["Yes", "No"], original="Text: {}")
+
+
+@pytest.mark.parametrize("more", [{}, {"budget": 80}])
+def test_ranking(spark, more):
+    """Ranking asks for logits and is right where the likeliest class is the answer, even one that begins like it."""
+
+    class Ranker:
+        def class_logits(self, prompts, classes):
+            return [[float(len(p) % 2), 0.5] for p in prompts]
+
+    s = Settings(TASK, CATALOGUE["input_output"], samples=40, formats=2, metric="probability_ranking", **more)
+    rows, classes = _inputs(spark, lambda k: False), ["Yes", "Yes no"]
+    with pytest.raises(ValueError, match="ranking"):
+        run(spark, rows, "DEF", s, classes)
+    log = answered(spark, rows, "DEF", s, classes, Ranker).select("node_id", "prompt", "generation").collect()
+    assert all(r.generation == ("Yes" if len(r.prompt) % 2 else "Yes no") for r in log) and len({r.generation for r in log}) == 2
+    acc = run(spark, rows, "DEF", s, classes, Ranker)[0].collect()
+    if not more:
+        assert {r.node_id: round(r.right * 40) for r in acc} == {r.node_id: sum(x.generation == "Yes" for x in log if x.node_id == r.node_id) for r in acc}
+        assert all(r.other == 0 for r in acc)
