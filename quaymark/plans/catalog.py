@@ -317,10 +317,10 @@ def demo_block(spark: SparkSession, d: str) -> DataFrame:
     return blocks.select("task", "node_id", F.md5(F.encode("block", "UTF-8")).alias("block_md5"))
 
 
-def _prompted(spark: SparkSession, d: str, shots: int) -> DataFrame:
+def _prompted(spark: SparkSession, d: str, shots: int, samples: int = SAMPLES) -> DataFrame:
     rows, nodes = _rows(spark, d), _nodes(spark, d)
     blocks = prompts.demo_block(nodes, rows.where("part = 'demo'"), shots) if shots else None
-    return prompts.full_prompts(nodes, dataset.interval(rows.where("part = 'test'"), 0, SAMPLES, "dataset_idx"), blocks)
+    return prompts.full_prompts(nodes, dataset.interval(rows.where("part = 'test'"), 0, samples, "dataset_idx"), blocks)
 
 
 _TEST_SQL = f"select *, place - 10 as dataset_idx from ({_ROWS_SQL}) where place >= 10 and place < {10 + SAMPLES}"
@@ -362,13 +362,40 @@ g as (select *, case h3 % 3 when 0 then ' ' || said || '.' when 1 then '(' || sa
 select task, node_id, round(avg(is_right::int), 9) as "right", round(avg(is_wrong::int), 9) as wrong, count(*) as total from ({_sql_scored('g', 'task, node_id')}) group by 1, 2
 """)
 def full_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    rows = dataset.interval(_rows(spark, d).where("part = 'test'"), 0, SAMPLES, "dataset_idx").select("task", "instance_id", "answer")
+    return _evaluated(spark, d, SAMPLES)
+
+
+def _evaluated(spark: SparkSession, d: str, samples: int) -> DataFrame:
+    rows = dataset.interval(_rows(spark, d).where("part = 'test'"), 0, samples, "dataset_idx").select("task", "instance_id", "answer")
     classes = table(spark, d, "tasks").where("class_labels is not null").select("task", F.col("class_labels").alias("output_classes"))
     pairs = rows.join(classes, "task").join(_nodes(spark, d).select("task", "node_id", "node"), "task")
     said = pairs.withColumn("generation", model.mock("node", F.col("instance_id").cast("string"), F.col("answer"), F.col("output_classes")))
     return search.evaluate_all(said, "task", "node_id").select("task", "node_id", F.round("right", 9).alias("right"), F.round("wrong", 9).alias("wrong"), "total")
 
 
+# The three queries above are samples: their first SAMPLES test rows a task are what their SQL holds. These are the whole job.
+
+
+def _whole(sql: str) -> str:
+    """The SQL of a sampled query over all test rows."""
+    return sql.replace(_TEST_SQL, f"select *, place - 10 as dataset_idx from ({_ROWS_SQL}) where place >= 10")
+
+
+@query("full_prompts_all", _whole(SQL["full_prompts"]))
+def full_prompts_all(spark: SparkSession, d: str) -> DataFrame:
+    return _prompted(spark, d, N_SHOT, -1).select("task", "node_id", "dataset_idx", F.md5(F.encode("prompt", "UTF-8")).alias("prompt_md5"))
+
+
+@query("full_prompts_zero_shot_all", _whole(SQL["full_prompts_zero_shot"]))
+def full_prompts_zero_shot_all(spark: SparkSession, d: str) -> DataFrame:
+    return _prompted(spark, d, 0, -1).select("task", "node_id", "dataset_idx", F.md5(F.encode("prompt", "UTF-8")).alias("prompt_md5"))
+
+
+@query("full_evaluation_all", _whole(SQL["full_evaluation"]))
+def full_evaluation_all(spark: SparkSession, d: str) -> DataFrame:
+    return _evaluated(spark, d, -1)
+
+
 def _log(spark: SparkSession, d: str) -> DataFrame:
     return scoring.scored(table(spark, d, "logs"))
 
@@ -476,6 +503,18 @@ def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return task_files.read_formats(spark, path).select(F.size("valid_value_assignments").alias("formats"), F.size("dataset_ordered_ids").alias("rows"))
 
 
+ORDERED = "task9001_tide_reports_yesno"
+
+
+@query("json_order", f"select place, pos as row from (select task, pos, {_PLACE} as place from instances) where task = '{ORDERED}'")
+def json_order(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark)}/formats-{uuid.uuid4().hex}.json"
+    names = formats.named(formats.distinct(_valid(spark), _ONE), _ONE).select("cand_id", "names")
+    rows = dataset.permuted(_instances(spark, d).where(F.col("task") == ORDERED))
+    task_files.write_formats(names, rows.select("place", F.col("pos").alias("row")), path)
+    return task_files.read_formats(spark, path).select(F.posexplode("dataset_ordered_ids").alias("place", "row"))
+
+
 # --- ranking by logits --------------------------------------------------------------------------------------------
 
 

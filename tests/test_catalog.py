@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 from oracle import connect, rows
+from pyspark.sql import functions as F
 
 from quaymark.plans import catalog
 
@@ -50,3 +51,23 @@ def test_entry(spark):
 
     assert e.entry(spark).limit(3).count() == 3
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_whole_jobs_have_every_test_row(spark):
+    d = "/root/testdata/sf0.01"
+    rows = catalog._rows(spark, d).where("part = 'test'").groupBy("task").count()
+    nodes, want = catalog._nodes(spark, d).groupBy("task").agg(F.count("*").alias("n")), {}
+    for r in rows.join(nodes, "task").collect():
+        want[r.task] = r["count"] * r.n
+    assert max(want.values()) > 161 * catalog.SAMPLES
+    for name in ("full_prompts_all", "full_prompts_zero_shot_all"):
+        assert {r.task: r["count"] for r in catalog.QUERIES[name](spark, d).groupBy("task").count().collect()} == want
+    totals = {r.task: r.total for r in catalog.QUERIES["full_evaluation_all"](spark, d).groupBy("task").agg(F.sum("total").alias("total")).collect()}
+    assert totals and all(want[t] == n for t, n in totals.items())
+
+
+def test_stored_order_is_a_permutation(spark):
+    d = "/root/testdata/sf0.01"
+    order = catalog.QUERIES["json_order"](spark, d).collect()
+    pos = sorted(r.pos for r in catalog._instances(spark, d).where(F.col("task") == catalog.ORDERED).select("pos").collect())
+    assert sorted(r.row for r in order) == pos != [r.row for r in order] and [r.place for r in order] == list(range(len(pos)))
