@@ -1,6 +1,6 @@
 """Generations that stop before their end (problem 5).
 
-Near-copies are found by min-hash banding and aligned: the one whose alignment ends early, inside a sentence of
+Near-copies are found by shared rare shingles and aligned: the one whose alignment ends early, inside a sentence of
 the other, is cut. Whatever has no copy is scored by the terminality of its closing words: how often, over the
 whole corpus, a text ends after these words rather than going on.
 """
@@ -27,8 +27,6 @@ from quaymark.session import cut as write_once
 #: A context enters the model if it is seen so often, at least; a share of all tokens bounds their number.
 LEAST, FLOOR, TERMINAL, PHRASE = 20, 1e-6, 0.03, 0.5
 SHINGLE, SIMILAR = 5, 0.8
-#: Bands and rows for texts with rare words, whose shingles tell them apart, and for texts without.
-BANDED, PLAIN = (6, 2), (24, 8)
 START, NEXT, MASK = "\x02", "\x06", "ʘ"
 _WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]|[^\s\p{Han}\p{Hiragana}\p{Katakana}ー々]+")
 _SIDES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}\p{M}]+$")
@@ -310,108 +308,125 @@ def shingles(tokens: list[str]) -> set[int]:
     return {xxhash.xxh32_intdigest(" ".join(tokens[k : k + SHINGLE])) for k in range(len(tokens) - SHINGLE + 1)}
 
 
-_RNG = np.random.default_rng(20240607)
-_A = _RNG.integers(1, 2**31 - 1, PLAIN[0] * PLAIN[1], dtype=np.uint64) * 2 + 1
-_B = _RNG.integers(0, 2**31 - 1, PLAIN[0] * PLAIN[1], dtype=np.uint64)
+def hashed(text: str, cache: dict[str, str]) -> tuple[list[int], int]:
+    """Hashes of a text's distinct word shingles ([] for a text of fewer words), and the number of its words."""
+    found = tokens(text, cache)[1]
+    return list({xxhash.xxh64_intdigest(" ".join(found[k : k + SHINGLE])) >> 1 for k in range(len(found) - SHINGLE + 1)}), len(found)
 
 
-def bands(hashes: list[list[int]], shape: tuple[int, int], heads: list[int]) -> np.ndarray:
-    """A row of band keys for each text's (non-empty) shingle hashes, all texts of a batch at once.
+def rarest(found: list[list[int]], often: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text's shingles the rarest, of which it shares one, at least, with any text of SIMILAR; and the text of each.
 
-    ``heads`` go into the keys: an alignment from the start needs equal first words, so no pair is lost by them.
+    ``often``, ``times``: the frequent ones, sorted, with their numbers; equally rare ones are ordered by their hash.
     """
-    n, rows = shape
-    sizes = np.array([len(h) for h in hashes])
-    flat = np.fromiter((x for h in hashes for x in h), np.uint64, int(sizes.sum()))
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    head = np.array(heads, np.uint64)
-    keys = np.empty((len(hashes), n), np.int64)
-    for b in range(n):
-        key = head + np.uint64(b)
-        for r in range(b * rows, (b + 1) * rows):
-            least = np.minimum.reduceat((flat * _A[r] + _B[r]) & np.uint64(0x7FFFFFFFFFFFFFFF), starts)
-            key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ least
-        keys[:, b] = (key >> np.uint64(3)).astype(np.int64)
-    return keys
-
-
-def telling(text: str, known: set[str], cache: dict[str, str]) -> tuple[list[int], int, bool, int, int, int]:
-    """Hashes of the word shingles that hold a rare word, or of all where none does ([] for a text of fewer words);
-    a hash of the first words; whether any was rare; the number of words, a power of two of at most 0.79 of them, and a
-    hash of the first so many."""
-    tokens = []
-    for w in words(body(text)):
-        c = cache.get(w)
+    sizes = np.array([len(f) for f in found], np.int64)
+    flat = np.fromiter((h for f in found for h in f), np.int64, int(sizes.sum()))
+    text = np.repeat(np.arange(len(found)), sizes)
+    at = np.searchsorted(often, flat)
+    at[at == len(often)] = 0
+    n = np.where(often[at] == flat, times[at], 0) if len(often) else np.zeros(len(flat), np.int64)
+    order = np.lexsort((flat, n, text))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    kept = order[place < np.repeat(sizes - np.ceil(SIMILAR * sizes - 1e-9).astype(np.int64) + 1, sizes)]
+    return flat[kept], text[kept]
+
+
+Tokens = tuple[list[str], list[str]]
+
+
+def tokens(text: str, cache: dict[str, str] | None = None) -> Tokens:
+    """The words of a text's body, as they stand and without their outer signs."""
+    ws, cores = words(body(text)), []
+    for w in ws:
+        c = cache.get(w) if cache is not None else None
         if c is None:
             c = core(w)
-            if len(cache) < 100_000:
+            if cache is not None and len(cache) < 100_000:
                 cache[w] = c
-        tokens.append(c)
-    last = len(tokens) - SHINGLE
-    if last < 0:
-        return [], 0, False, 0, 0, 0
-    rare = [k for k, t in enumerate(tokens[:-1]) if t not in known]
-    at = sorted({j for k in rare for j in range(max(0, k - SHINGLE + 1), min(k, last) + 1)}) or range(last + 1)
-    head = xxhash.xxh64_intdigest(" ".join(tokens[: SHINGLE - 1]))
-    level = 1 << (int(0.79 * len(tokens))).bit_length() - 1
-    half = xxhash.xxh32_intdigest(" ".join(tokens[:level]))
-    return [xxhash.xxh32_intdigest(" ".join(tokens[k : k + SHINGLE])) for k in at], head, bool(rare), len(tokens), level, half
+        cores.append(c)
+    return ws, cores
 
 
 def ends_early(a: str, b: str) -> bool:
-    """Is ``a`` a copy of ``b`` that stops inside one of its sentences?"""
-    x, y = body(a), body(b)
-    p, q = words(x), words(y)
-    if len(p) > len(q) or not p:
-        return False
-    if any(v != w and core(v) != core(w) for v, w in zip(p[:-1], q, strict=False)):
+    """Is ``a`` a copy of ``b``, a few other words aside, that stops inside one of its sentences, whatever mark follows?"""
+    return _stops(tokens(a)[1], *tokens(b))
+
+
+def _stops(p: list[str], whole: list[str], q: list[str]) -> bool:
+    n = len(p)
+    if n > len(q) or not p:
         return False
-    last, there = core(p[-1]), core(q[len(p) - 1])
+    last, there = p[-1], q[n - 1]
     if last != there:
-        return len(last) < len(there) and there.startswith(last)
-    return len(p) < len(q) and not _FINAL.search(q[len(p) - 1])
+        if not (len(last) < len(there) and there.startswith(last)):
+            return False
+    elif not any(q[n:]) or _FINAL.search(whole[n - 1]):  # a mark alone is no rest
+        return False
+    return sum(v != w for v, w in zip(p[:-1], q, strict=False)) <= (1 - SIMILAR) * len(q)  # else too unlike anyway
 
 
-def aligned(texts: DataFrame, known: set[str]) -> DataFrame:
+def aligned(texts: DataFrame, known: set[str] | None = None) -> DataFrame:
     """``tid`` of every text that a near-copy of at least SIMILAR shows to end early.
 
-    Only texts that don't end with a final mark, or say that they are cut, ask; all texts answer. Shingles of
-    frequent words alone don't band, so texts made from one pattern don't fill a bucket.
+    Every text asks and answers, whatever its length and its last mark. Candidates share one of their rarest shingles,
+    as similar texts must (prefix filtering: no pair is lost); so texts of one pattern rarely meet. Which are frequent
+    is known of those that make up FLOOR of all, which bounds their number.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = {}
+        for b in batches:
+            seen = Counter(h for g in b["g"] for h in hashed(g, cache)[0])
+            yield pd.DataFrame({"h": np.fromiter(seen, np.int64, len(seen)), "n": np.fromiter(seen.values(), np.int64, len(seen))})
+
+    counted = write_once(texts.select("g").mapInPandas(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    frequent = counted.where((F.col("n") > 2) & (F.col("n") >= total * FLOOR)).orderBy("h").toArrow().to_pandas()
+    shared = texts.sparkSession.sparkContext.broadcast((frequent["h"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, cache = shared.value, {}
+        often, times = shared.value
+        cache = {}
         for b in batches:
-            found = [telling(g, m, cache) for g in b["g"]]
-            for shape, kind in ((BANDED, True), (PLAIN, False)):
-                some = np.array([bool(f[0]) and f[2] is kind for f in found], bool)
-                if some.any():
-                    hashes, heads, _, sizes, levels, halves = zip(*(f for f, s in zip(found, some, strict=True) if s), strict=True)
-                    asks = np.array([not final(g) or bool(_SAYS_CUT.search(g)) for g in b["g"][some]])
-                    each = {"tid": b["tid"].to_numpy()[some], "asks": asks, "size": np.array(sizes, np.int32), "level": np.array(levels, np.int32), "half": np.array(halves, np.int64)}
-                    yield pd.DataFrame({"band": bands(list(hashes), shape, list(heads)).ravel(), **{k: np.repeat(v, shape[0]) for k, v in each.items()}})
-
-    keys = write_once(texts.where(F.length("g") >= 12).select("tid", "g").mapInPandas(run, "band bigint, tid bigint, asks boolean, size int, level int, half bigint"))
-    asking = keys.where("asks").select("band", F.col("tid").alias("a"), F.col("size").alias("na"), F.col("level").alias("la"), F.col("half").alias("ha"))
-    hot = asking.select("band").distinct()
-    both = asking.join(keys.join(hot, "band", "left_semi"), "band")
-    # what a similar copy that ends early must have: few words less, and the same first ones where both were hashed
-    able = (F.col("a") != F.col("tid")) & (F.col("na") <= F.col("size")) & (F.col("na") - SHINGLE + 1 >= SIMILAR * (F.col("size") - SHINGLE + 1)) & ((F.col("la") != F.col("level")) | (F.col("ha") == F.col("half")))
-    pairs = both.where(able).select("a", F.col("tid").alias("b")).distinct()
+            found = [hashed(g, cache) for g in b["g"]]
+            band, text = rarest([f[0] for f in found], often, times)
+            each = {"tid": b["tid"].to_numpy(), "shingles": np.array([len(f[0]) for f in found], np.int32), "size": np.array([f[1] for f in found], np.int32)}
+            yield pd.DataFrame({"band": band, **{k: v[text] for k, v in each.items()}})
+
+    keys = write_once(texts.select("tid", "g").mapInPandas(run, "band bigint, tid bigint, shingles int, size int"))
+    keys = keys.join(counted.select(F.col("h").alias("band")), "band", "left_semi")  # what occurs once meets nothing
+    asking = keys.select("band", F.col("tid").alias("a"), F.col("size").alias("na"), F.col("shingles").alias("sa"))
+    # what a similar copy that ends early must have: no more words, and nearly as many shingles
+    able = (F.col("a") != F.col("tid")) & (F.col("na") <= F.col("size")) & (F.least("sa", "shingles") >= SIMILAR * F.greatest("sa", "shingles"))
+    pairs = asking.join(keys, "band").where(able).select("a", F.col("tid").alias("b")).distinct()
     ta, tb = texts.select(F.col("tid").alias("a"), F.col("g").alias("ga")), texts.select(F.col("tid").alias("b"), F.col("g").alias("gb"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache: dict[str, str] = {}
+        split: dict[str, Tokens] = {}
+
+        def of(g: str) -> Tokens:
+            found = split.get(g)
+            if found is None:
+                found = tokens(g, cache)
+                if len(split) < 20_000:
+                    split[g] = found
+            return found
+
         for b in batches:
-            out = []
+            out, found = [], set()
             for a, ga, gb in b.itertuples(index=False):
-                if ends_early(ga, gb):
-                    p, q = shingles([core(w) for w in words(body(ga))]), shingles([core(w) for w in words(body(gb))])
+                if a in found:
+                    continue
+                (_, x), (whole, y) = of(ga), of(gb)
+                if _stops(x, whole, y):
+                    p, q = shingles(x), shingles(y)
                     if len(p & q) >= SIMILAR * len(p | q):
                         out.append(a)
+                        found.add(a)
             yield pd.DataFrame({"tid": out})
 
-    return pairs.join(ta, "a").join(tb, "b").where("length(ga) <= length(gb) + 24").select("a", "ga", "gb").mapInPandas(verify, "tid bigint").distinct()
+    return pairs.join(ta, "a").join(tb, "b").select("a", "ga", "gb").mapInPandas(verify, "tid bigint").distinct()
 
 
 def scored(texts: DataFrame, tasks: DataFrame, model: Model) -> DataFrame:
@@ -488,7 +503,7 @@ def prepare(rows: DataFrame, tasks: DataFrame) -> tuple[DataFrame, Model]:
 
 def cut_texts(texts: DataFrame, model: Model, tasks: DataFrame) -> DataFrame:
     """``tid`` of every distinct text that is cut, by alignment or by its closing words."""
-    return aligned(texts, model.vocabulary).unionByName(scored(texts, tasks, model)).distinct()
+    return aligned(texts).unionByName(scored(texts, tasks, model)).distinct()
 
 
 def truncated(logs: DataFrame, tasks: DataFrame, instances: DataFrame) -> DataFrame:
