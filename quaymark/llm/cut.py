@@ -37,7 +37,8 @@ _FINAL = regex.compile(r"[.!?。！？।؟…][\"'”’»›“)\]）」』\s]
 _LIST = regex.compile(r"[,;]\s+|[、，]\s*")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _STOPS = ".!?。！？"
-_ANY = regex.compile(r"[\p{L}\p{N}]")
+_ANY, _DIGIT = regex.compile(r"[\p{L}\p{N}]"), regex.compile(r"\p{N}")
+_MARKUP, _ANSWER, _SINGLE = regex.compile(r"<[^<>]*>|\[[^\[\]]*\]"), regex.compile(r"^\W*answer\s*:"), regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]")
 
 
 def words(text: str) -> list[str]:
@@ -47,7 +48,12 @@ def words(text: str) -> list[str]:
 
 def core(word: str) -> str:
     """A word without its outer signs, digits alike."""
-    return regex.sub(r"\p{N}", "0", _SIDES.sub("", word))
+    return word if word.isalpha() else alike(_SIDES.sub("", word))
+
+
+def alike(text: str) -> str:
+    """Any digit is as good as another."""
+    return text if text.isalpha() else _DIGIT.sub("0", text)
 
 
 def fold(generation: F.Column) -> F.Column:
@@ -103,7 +109,7 @@ class Patterns:
     def _word(self, w: str) -> str:
         c = core(w)
         if not c or c in self.known or _UNSPACED.search(w):
-            out = regex.sub(r"\p{N}", "0", w)
+            out = alike(w)
         else:  # a name, or a number, whose length tells nothing
             inner = _SIDES.sub("", w)
             out = w.replace(inner, MASK if any(x.isalpha() for x in inner) else "0")
@@ -119,7 +125,7 @@ class Patterns:
             ws = part.split()
             if not ws:
                 continue
-            keep = regex.sub(r"\p{N}", "0", ws.pop()) if k == len(parts) - 1 and not final(body(part)) else None
+            keep = alike(ws.pop()) if k == len(parts) - 1 and not final(body(part)) else None
             masked = [cache.get(w) or self._word(w) for w in ws]
             out.append(" ".join(masked if keep is None else [*masked, keep]))
         return out or [""]
@@ -171,13 +177,13 @@ def is_cut(segments: list[str], model: Model, classes: tuple[str, ...] = (), cac
 
 
 def _ends_inside(tail: str, inner: str, model: Model, classes: tuple[str, ...], single: bool, like: bool) -> bool:
-    if not _ANY.search(regex.sub(r"<[^<>]*>|\[[^\[\]]*\]", "", tail)):
+    if not _ANY.search(_MARKUP.sub("", tail)):
         return not single and bool(_SAYS_CUT.search(tail))
     if _SAYS_CUT.search(tail):
         return True
     if inner.endswith((",", "、", "，", ":", "：", ";")):
         return True
-    label = _SIDES.sub("", regex.sub(r"^\W*answer\s*:", "", inner)).strip()
+    label = _SIDES.sub("", _ANSWER.sub("", inner)).strip()
     if classes:
         if label in classes:
             return False
@@ -210,7 +216,7 @@ def _ends_inside(tail: str, inner: str, model: Model, classes: tuple[str, ...],
 
 def items(text: str) -> list[str]:
     """The members of a list, or the one phrase, with digits alike and without outer signs and a leading 'answer:'."""
-    return [core(x) for x in _LIST.split(regex.sub(r"^\W*answer\s*:", "", text)) if core(x)] or [""]
+    return [core(x) for x in _LIST.split(_ANSWER.sub("", text)) if core(x)] or [""]
 
 
 def _sentence_like(text: str) -> bool:
@@ -301,7 +307,7 @@ class _Mixed(set):
     """A vocabulary that also holds every single character of a script without blanks."""
 
     def __contains__(self, w: object) -> bool:
-        return set.__contains__(self, w) or len(w) == 1 and bool(regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]", w))
+        return set.__contains__(self, w) or len(w) == 1 and bool(_SINGLE.match(w))
 
 
 def shingles(tokens: list[str]) -> set[int]:
