@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: a restartable cut of the lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and read it back: a restartable cut of the lineage.
+
+    The tables of an application lie in a folder of its own, which goes when the driver ends, or by ``clear``.
+    """
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession) -> str:
+    """Where this application writes its intermediate tables."""
+    at = f"{checkpoint_dir(spark)}/quaymark-{spark.sparkContext.applicationId}"
+    if at not in _FOLDERS:
+        _FOLDERS.add(at)
+        atexit.register(clear, spark)
+    return at
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; nothing that was read from them can be used after it."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/quaymark-{context.applicationId}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_FOLDERS: set[str] = set()
