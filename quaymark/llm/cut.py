@@ -8,18 +8,21 @@ whole corpus, a text ends after these words rather than going on.
 from __future__ import annotations
 
 import bisect
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.llm.chars import caseless
+from quaymark.llm.chars import FOLD_CASED, caseless
 from quaymark.llm.copies import _markers, _members, canonical
 from quaymark.llm.wording import WORDS
 from quaymark.session import cut as write_once
@@ -27,6 +30,8 @@ from quaymark.session import cut as write_once
 #: A context enters the model if it is seen so often, at least; a share of all tokens bounds their number.
 LEAST, FLOOR, TERMINAL, PHRASE = 20, 1e-6, 0.03, 0.5
 SHINGLE, SIMILAR = 5, 0.8
+#: Answers without content, to validate what empty ones are told by.
+EMPTIES = ("</s>", "<pad><pad>", "...", "[]", '""', "- -")
 START, NEXT, MASK = "\x02", "\x06", "ʘ"
 _WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]|[^\s\p{Han}\p{Hiragana}\p{Katakana}ー々]+")
 _SIDES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}\p{M}]+$")
@@ -37,6 +42,7 @@ _FINAL = regex.compile(r"[.!?。！？।؟…][\"'”’»›“)\]）」』\s]
 _LIST = regex.compile(r"[,;]\s+|[、，]\s*")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _STOPS = ".!?。！？"
+_CLOSING = set(_STOPS + "।؟…\"'”’»›“)]）」』")
 _ANY, _DIGIT = regex.compile(r"[\p{L}\p{N}]"), regex.compile(r"\p{N}")
 _MARKUP, _ANSWER, _SINGLE = regex.compile(r"<[^<>]*>|\[[^\[\]]*\]"), regex.compile(r"^\W*answer\s*:"), regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]")
 
@@ -214,6 +220,11 @@ def _ends_inside(tail: str, inner: str, model: Model, classes: tuple[str, ...],
     return False
 
 
+def breaks_off(tail: str) -> bool:
+    """Does the last segment say that it is cut, or end in a mark that something must follow?"""
+    return bool(_SAYS_CUT.search(tail)) or body(tail).endswith((",", "、", "，", ":", "：", ";", "-"))
+
+
 def items(text: str) -> list[str]:
     """The members of a list, or the one phrase, with digits alike and without outer signs and a leading 'answer:'."""
     return [core(x) for x in _LIST.split(_ANSWER.sub("", text)) if core(x)] or [""]
@@ -226,10 +237,15 @@ def _sentence_like(text: str) -> bool:
     return any(len(words(x)) > (8 if _UNSPACED.search(x) else most) for x in parts)
 
 
-def distinct_texts(logs: DataFrame) -> DataFrame:
-    """``task``, ``g``, ``tid``: every distinct folded generation of a task once."""
-    folded = logs.select("task", fold(F.col("generation")).alias("g")).where("g is not null and g <> ''")
-    return folded.groupBy("task", "g").agg(F.count("*").alias("copies")).withColumn("tid", F.xxhash64("task", "g"))
+def text_id(table: int) -> F.Column:
+    """The id of a distinct text (``task``, ``g``) of the log rows (0) or the instances (1)."""
+    return F.xxhash64("task", "g") if table == 0 else F.xxhash64("task", "g", F.lit(table))
+
+
+def distinct_texts(rows: DataFrame, table: int = 0) -> DataFrame:
+    """``t``, ``task``, ``g``, ``copies``, ``tid``: every distinct folded generation of a task once."""
+    folded = rows.select("task", fold(F.col("generation")).alias("g")).where("g is not null and g <> ''")
+    return folded.groupBy("task", "g").agg(F.count("*").alias("copies")).select(F.lit(table).alias("t"), "task", "g", "copies", text_id(table).alias("tid"))
 
 
 def vocabulary(texts: DataFrame, tasks: DataFrame) -> set[str]:
@@ -239,28 +255,49 @@ def vocabulary(texts: DataFrame, tasks: DataFrame) -> set[str]:
         raise ValueError("more than 100,000 words in class labels")
     spread = write_once(texts.select("copies", F.explode(F.split("g", " ")).alias("w")).groupBy("w").agg(F.sum("copies").alias("n")))
     total = spread.agg(F.sum("n")).first()[0] or 0
-    kept = spread.where((F.length("w") <= 40) & (F.col("n") >= max(LEAST, total * 1e-5)))
-    found = {core(w) for (w,) in kept.select("w").toArrow().to_pandas().itertuples(index=False) if not _UNSPACED.search(w)}
+    kept = spread.where((F.col("n") >= max(LEAST, total * 1e-5)) & ~F.regexp_like("w", F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")))
+    found = {core(w) for (w,) in kept.select("w").toArrow().to_pandas().itertuples(index=False)}
     return _Mixed((found | {core(w) for w in named if w}) - {""} | {MASK, "answer"} | WORDS)
 
 
-def learn(texts: DataFrame, known: set[str]) -> Model:
-    """The model from the segments of all texts, each as often as it occurs; counted map-side, rare contexts left out
-    by their share."""
+PARTS = "t int, task string, tid bigint, copies bigint, g string, segs array<string>, words int, class bigint, head string, heads string, last int, mix bigint, shingles array<bigint>"
+
+
+def taken_apart(texts: DataFrame, known: set[str]) -> DataFrame:
+    """Every text of ``t``, ``task``, ``tid``, ``copies``, ``g`` taken apart, once for all that follows.
+
+    ``segs``: its segments; ``words``: the number of its words; ``class``: equal for texts of equal words that end
+    their sentences alike; ``head``: the first letter of its last word, ``heads``: of each of its last words, ``last``:
+    a hash of the last; ``mix``: what letters it is made of (see ``mixture``); ``shingles``: see ``placed``.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(known)
 
-    def cutup(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made, seen = Patterns(shared.value), Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, cache = Patterns(shared.value), {}
         for b in batches:
-            for g, k in b.itertuples(index=False):
-                parts = made.of(g)
-                last = len(parts) - 1
-                for j, p in enumerate(parts):
-                    seen[p, j == 0, j == last] += k
-            if len(seen) > 200_000:
-                yield _counted(seen)
-                seen = Counter()
-        yield _counted(seen)
+            segs, rows, flat, sizes = [], [], [], []
+            for t, g in zip(b.column("t").to_pylist(), b.column("g").to_pylist(), strict=True):
+                segs.append(made.of(g))
+                ws, cores = tokens(g, cache)
+                found = placed(cores, t)
+                flat += found
+                sizes.append(len(found))
+                n = len(cores)
+                heads = "".join(c[:1] or " " for c in cores[n - min(n, n // 4 + 2) :])
+                ends = "".join("." if w[-1] in _CLOSING and _FINAL.search(w) else " " for w in ws)
+                rows.append((n, xxhash.xxh64_intdigest(" ".join(cores) + "\x00" + ends, t) >> 1, heads[-1:], heads, xxhash.xxh32_intdigest(cores[-1]) >> 1 if cores else 0, mixture(g)))
+            shingles = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat, pa.int64()))
+            kinds = (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64())
+            own = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(segs, pa.list_(pa.string())), *own, shingles], [x.split()[0] for x in PARTS.split(", ")])
+
+    return texts.select("t", "task", "tid", "copies", "g").mapInArrow(run, PARTS)
+
+
+def learn(parts: DataFrame, known: set[str]) -> Model:
+    """The model from the segments of all texts, each as often as it occurs; counted map-side, rare contexts left out
+    by their share."""
+    shared = parts.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine = Model(shared.value)
@@ -278,7 +315,8 @@ def learn(texts: DataFrame, known: set[str]) -> Model:
                         all_["\x04", x] += k
             yield pd.DataFrame({"ctx": ["\x1f".join(c) for c in all_], "n": list(all_.values()), "ends": [end.get(c, 0) for c in all_], "pauses": [halt.get(c, 0) for c in all_]})
 
-    once = texts.select("g", "copies").mapInPandas(cutup, "seg string, first boolean, closes boolean, n bigint").groupBy("seg", "first", "closes").agg(F.sum("n").alias("n"))
+    each = parts.select("copies", F.size("segs").alias("size"), F.posexplode("segs").alias("at", "seg"))
+    once = each.groupBy("seg", (F.col("at") == 0).alias("first"), (F.col("at") == F.col("size") - 1).alias("closes")).agg(F.sum("copies").alias("n"))
     found = once.mapInPandas(count, "ctx string, n bigint, ends bigint, pauses bigint").groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("pauses").alias("pauses"))
     least = F.when(F.col("ctx").startswith("\x04"), 2).otherwise(LEAST // 2)
     found = write_once(found)
@@ -299,10 +337,6 @@ def learn(texts: DataFrame, known: set[str]) -> Model:
     return model
 
 
-def _counted(seen: Counter) -> pd.DataFrame:
-    return pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["seg", "first", "closes", "n"])
-
-
 class _Mixed(set):
     """A vocabulary that also holds every single character of a script without blanks."""
 
@@ -314,24 +348,26 @@ def shingles(tokens: list[str]) -> set[int]:
     return {xxhash.xxh32_intdigest(" ".join(tokens[k : k + SHINGLE])) for k in range(len(tokens) - SHINGLE + 1)}
 
 
-def hashed(text: str, cache: dict[str, str]) -> tuple[list[int], int]:
-    """Hashes of a text's distinct word shingles ([] for a text of fewer words), and the number of its words."""
-    found = tokens(text, cache)[1]
-    return list({xxhash.xxh64_intdigest(" ".join(found[k : k + SHINGLE])) >> 1 for k in range(len(found) - SHINGLE + 1)}), len(found)
+def placed(found: list[str], seed: int = 0) -> list[int]:
+    """Hashes of the distinct word shingles of a text, each with the place where it first stands; [] for fewer words."""
+    joined: dict[str, int] = {}
+    for k in range(len(found) - SHINGLE + 1):
+        joined.setdefault(" ".join(found[k : k + SHINGLE]), k)
+    return list({xxhash.xxh64_intdigest(f"{k} {s}", seed) >> 1 for s, k in joined.items()})
 
 
-def rarest(found: list[list[int]], often: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Cells in which shingles are counted, to tell the frequent ones: a fixed size, whatever the corpus.
+CELLS, CHUNK = 1 << 20, 1 << 14
+
+
+def rarest(flat: np.ndarray, sizes: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each text's shingles the rarest, of which it shares one, at least, with any text of SIMILAR; and the text of each.
 
-    ``often``, ``times``: the frequent ones, sorted, with their numbers; equally rare ones are ordered by their hash.
+    ``flat``: the shingles of all texts, ``sizes``: how many each has; ``often``: counts by cell. Any order that is
+    the same for all texts loses no pair; equally rare ones are ordered by their hash.
     """
-    sizes = np.array([len(f) for f in found], np.int64)
-    flat = np.fromiter((h for f in found for h in f), np.int64, int(sizes.sum()))
-    text = np.repeat(np.arange(len(found)), sizes)
-    at = np.searchsorted(often, flat)
-    at[at == len(often)] = 0
-    n = np.where(often[at] == flat, times[at], 0) if len(often) else np.zeros(len(flat), np.int64)
-    order = np.lexsort((flat, n, text))
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((flat, often[flat & (CELLS - 1)], text))
     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     kept = order[place < np.repeat(sizes - np.ceil(SIMILAR * sizes - 1e-9).astype(np.int64) + 1, sizes)]
     return flat[kept], text[kept]
@@ -371,88 +407,105 @@ def _stops(p: list[str], whole: list[str], q: list[str]) -> bool:
     return sum(v != w for v, w in zip(p[:-1], q, strict=False)) <= (1 - SIMILAR) * len(q)  # else too unlike anyway
 
 
+def near(p: list[str], q: list[str]) -> bool:
+    """Are two texts near-copies: of their shingles, each taken with its first place, SIMILAR are common?"""
+    a, b = set(placed(p)), set(placed(q))
+    return len(a & b) >= SIMILAR * len(a | b) > 0
+
+
 def aligned(texts: DataFrame, known: set[str] | None = None) -> DataFrame:
-    """``tid`` of every text that a near-copy of at least SIMILAR shows to end early.
+    """``tid`` of every text (``tid``, ``g``) that a near-copy of at least SIMILAR shows to end early."""
+    rows = texts.select(F.lit(0).alias("t"), F.lit("").alias("task"), "tid", F.lit(1).cast("bigint").alias("copies"), "g")
+    return cut_early(write_once(taken_apart(rows, known or _Mixed()))).select("tid")
 
-    Every text asks and answers, whatever its length and its last mark. Candidates share one of their rarest shingles,
-    as similar texts must (prefix filtering: no pair is lost); so texts of one pattern rarely meet. Which are frequent
-    is known of those that make up FLOOR of all, which bounds their number.
-    """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = {}
+def counted(parts: DataFrame) -> np.ndarray:
+    """How often the shingles of each cell occur. The counts are summed in the tasks, then by chunk of cells while
+    they stream by, so that neither a worker nor the driver ever holds more than CELLS numbers."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(CELLS, np.int64)
+        for b in batches:
+            seen += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False) & (CELLS - 1), minlength=CELLS)
+        filled = [k for k in range(CELLS // CHUNK) if seen[k * CHUNK : (k + 1) * CHUNK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array([seen[k * CHUNK : (k + 1) * CHUNK].tobytes() for k in filled], pa.binary())], ["chunk", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
-            seen = Counter(h for g in b["g"] for h in hashed(g, cache)[0])
-            yield pd.DataFrame({"h": np.fromiter(seen, np.int64, len(seen)), "n": np.fromiter(seen.values(), np.int64, len(seen))})
+            for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(n, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["chunk", "n"])
 
-    counted = write_once(texts.select("g").mapInPandas(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    frequent = counted.where((F.col("n") > 2) & (F.col("n") >= total * FLOOR)).orderBy("h").toArrow().to_pandas()
-    shared = texts.sparkSession.sparkContext.broadcast((frequent["h"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
+    kind = "chunk int, n binary"
+    out = np.zeros(CELLS, np.int64)
+    for k, n in parts.select("shingles").mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind).collect():  # at most CELLS numbers
+        out[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(n, np.int64)
+    return np.minimum(out, 2**31 - 1).astype(np.int32)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often, times = shared.value
-        cache = {}
+
+def cut_early(parts: DataFrame) -> DataFrame:
+    """``t``, ``tid`` of every text that a near-copy of at least SIMILAR shows to end early.
+
+    Every text asks and answers, whatever its length and its last mark. Of texts of one class one stands for all. Near
+    copies share one of their rarest shingles (prefix filtering: no pair is lost), so texts of one pattern rarely meet;
+    of those that meet only such travel on whose last word begins like the word in its place.
+    """
+    often = parts.sparkSession.sparkContext.broadcast(counted(parts))
+    once = parts.select("class", "tid", "words", "head", "heads", "last", "shingles").where(F.size("shingles") > 0).dropDuplicates(["class"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [hashed(g, cache) for g in b["g"]]
-            band, text = rarest([f[0] for f in found], often, times)
-            each = {"tid": b["tid"].to_numpy(), "shingles": np.array([len(f[0]) for f in found], np.int32), "size": np.array([f[1] for f in found], np.int32)}
-            yield pd.DataFrame({"band": band, **{k: v[text] for k, v in each.items()}})
-
-    keys = write_once(texts.select("tid", "g").mapInPandas(run, "band bigint, tid bigint, shingles int, size int"))
-    keys = keys.join(counted.select(F.col("h").alias("band")), "band", "left_semi")  # what occurs once meets nothing
-    asking = keys.select("band", F.col("tid").alias("a"), F.col("size").alias("na"), F.col("shingles").alias("sa"))
-    # what a similar copy that ends early must have: no more words, and nearly as many shingles
-    able = (F.col("a") != F.col("tid")) & (F.col("na") <= F.col("size")) & (F.least("sa", "shingles") >= SIMILAR * F.greatest("sa", "shingles"))
-    pairs = asking.join(keys, "band").where(able).select("a", F.col("tid").alias("b")).distinct()
-    ta, tb = texts.select(F.col("tid").alias("a"), F.col("g").alias("ga")), texts.select(F.col("tid").alias("b"), F.col("g").alias("gb"))
+            lists = b.column("shingles")
+            sizes = np.diff(lists.offsets.to_numpy())
+            band, text = rarest(lists.flatten().to_numpy(zero_copy_only=False), sizes, often.value)
+            rest = b.select(["tid", "words", "head", "heads", "last"]).take(pa.array(text))
+            yield pa.RecordBatch.from_arrays([pa.array(band), *rest.columns, pa.array(sizes[text], pa.int32())], ["band", "tid", "words", "head", "heads", "last", "size"])
+
+    keys = once.mapInArrow(run, "band bigint, tid bigint, words int, head string, heads string, last int, size int")
+    keys = write_once(keys)
+    asking = keys.select("band", F.col("tid").alias("a"), F.col("words").alias("na"), F.col("head").alias("ha"), F.col("last").alias("la"), F.col("size").alias("sa"))
+    place = F.col("na") - F.col("words") + F.length("heads")  # of the asking text's last word among the heads, from 1
+    # what a similar copy that ends early must have: no more words, nearly as many shingles, and a last word that begins so
+    able = (F.col("na") < F.col("words")) | (F.col("na") == F.col("words")) & (F.col("la") != F.col("last"))
+    able &= F.least("sa", "size") >= SIMILAR * F.greatest("sa", "size")
+    able &= (F.col("ha") == " ") | (place < 1) | (F.substring("heads", place, F.lit(1)) == F.col("ha"))
+    pairs = asking.join(keys, "band").where((F.col("a") != F.col("tid")) & able).select("a", F.col("tid").alias("b")).distinct()
+    ta, tb = parts.select(F.col("tid").alias("a"), F.col("g").alias("ga")), parts.select(F.col("tid").alias("b"), F.col("g").alias("gb"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, str] = {}
-        split: dict[str, Tokens] = {}
-
-        def of(g: str) -> Tokens:
-            found = split.get(g)
-            if found is None:
-                found = tokens(g, cache)
-                if len(split) < 20_000:
-                    split[g] = found
-            return found
-
         for b in batches:
-            out, found = [], set()
+            out = []
             for a, ga, gb in b.itertuples(index=False):
-                if a in found:
-                    continue
-                (_, x), (whole, y) = of(ga), of(gb)
-                if _stops(x, whole, y):
-                    p, q = shingles(x), shingles(y)
-                    if len(p & q) >= SIMILAR * len(p | q):
-                        out.append(a)
-                        found.add(a)
+                (_, x), (whole, y) = tokens(ga, cache), tokens(gb, cache)
+                if _stops(x, whole, y) and near(x, y):
+                    out.append(a)
             yield pd.DataFrame({"tid": out})
 
-    return pairs.join(ta, "a").join(tb, "b").select("a", "ga", "gb").mapInPandas(verify, "tid bigint").distinct()
+    hits = pairs.join(ta, "a").join(tb, "b").select("a", "ga", "gb").mapInPandas(verify, "tid bigint").distinct()
+    classes = parts.select("tid", "class").join(hits, "tid", "left_semi").select("class").distinct()
+    return parts.select("t", "tid", "class").join(classes, "class", "left_semi").select("t", "tid")
 
 
-def scored(texts: DataFrame, tasks: DataFrame, model: Model) -> DataFrame:
+def scored(parts: DataFrame, tasks: DataFrame, model: Model) -> DataFrame:
     """``tid`` of every text whose closing words show it to be cut."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+    shared = parts.sparkSession.sparkContext.broadcast(model)
     classes = tasks.select("task", F.transform("class_labels", lambda c: F.lower(F.regexp_replace(c, r"\p{N}", "0"))).alias("classes")).dropDuplicates(["task"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        made, cache, lists = Patterns(m.vocabulary), {}, {}
+        cache, lists = {}, {}
         for b in batches:
             out = []
-            for tid, task, g, c in b.itertuples(index=False):
+            for tid, task, segs, c in b.itertuples(index=False):
                 if task not in lists:
                     lists[task] = tuple(x for x in c if x) if c is not None else ()
-                if is_cut(made.of(g), m, lists[task], cache):
+                if is_cut(list(segs), m, lists[task], cache):
                     out.append(tid)
             yield pd.DataFrame({"tid": out})
 
-    return texts.join(classes, "task", "left").select("tid", "task", "g", "classes").mapInPandas(run, "tid bigint")
+    return parts.join(classes, "task", "left").select("tid", "task", "segs", "classes").mapInPandas(run, "tid bigint")
 
 
 _NOT_WORD = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
@@ -501,15 +554,42 @@ def _labelled(text: str, labels: tuple[str, ...]) -> list[tuple[str, str]]:
     return list(zip(parts[1::2], parts[2::2], strict=True))
 
 
-def prepare(rows: DataFrame, tasks: DataFrame) -> tuple[DataFrame, Model]:
-    """The distinct texts of ``rows``, written, and the model that they teach."""
-    texts = write_once(distinct_texts(rows))
-    return texts, learn(texts, vocabulary(texts, tasks))
+def mixture(text: str) -> int:
+    """A hash of the letters, digits and marks of a text by their shares: equal for all texts that only differ in layout,
+    that repeat each other, or that have the same parts in another order."""
+    found = sorted((c, n) for c, n in Counter(caseless(text)).items() if _is_word(c))
+    least = math.gcd(*(n for _, n in found))
+    return xxhash.xxh64_intdigest("".join(f"{c}{n // least} " for c, n in found)) >> 1
+
+
+@lru_cache(maxsize=100_000)
+def _is_word(c: str) -> bool:
+    return not _NOT_WORD.match(c)
 
 
-def cut_texts(texts: DataFrame, model: Model, tasks: DataFrame) -> DataFrame:
-    """``tid`` of every distinct text that is cut, by alignment or by its closing words."""
-    return aligned(texts).unionByName(scored(texts, tasks, model)).distinct()
+def mixtures(instances: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``mix``, distinct: of every input, of each of its fields, and of each with its label."""
+    labels = tasks.select("task", F.col("field_labels").alias("labels")).dropDuplicates(["task"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = set()
+            for i, la in b.itertuples(index=False):
+                out.add(mixture(i))
+                for name, f in _labelled(i, tuple(x for x in la if x) if la is not None else ()):
+                    out |= {mixture(f), mixture(name + f)}
+            yield pd.DataFrame({"mix": list(out)}, dtype="int64")
+
+    return instances.where("input is not null").select("task", "input").join(labels, "task", "left").select("input", "labels").mapInPandas(run, "mix bigint").distinct()
+
+
+def prepare(rows: DataFrame, tasks: DataFrame, more: DataFrame | None = None) -> tuple[DataFrame, Model]:
+    """The distinct texts of ``rows`` (and ``more`` of table 1), taken apart and written, and the model that ``rows`` teach."""
+    texts = distinct_texts(rows)
+    texts = write_once(texts if more is None else texts.unionByName(distinct_texts(more, 1)))
+    known = vocabulary(texts.where("t = 0"), tasks)
+    parts = write_once(taken_apart(texts, known))
+    return parts, learn(parts.where("t = 0"), known)
 
 
 def truncated(logs: DataFrame, tasks: DataFrame, instances: DataFrame) -> DataFrame:
@@ -518,36 +598,44 @@ def truncated(logs: DataFrame, tasks: DataFrame, instances: DataFrame) -> DataFr
     A copy of the prompt, the input or a whole field is whole, however it ends. Null, empty and letterless
     generations are no case, nor are rows without a log_id.
     """
-    texts, model = prepare(logs, tasks)
-    return of_logs(logs, cut_texts(texts, model, tasks), tasks, instances)
-
-
-def of_logs(logs: DataFrame, tids: DataFrame, tasks: DataFrame, instances: DataFrame) -> DataFrame:
-    """The log rows of cut texts, without those that only copy what they were given."""
-    rows = logs.select(F.col("log_id").cast("bigint").alias("log_id"), "task", "instance_id", "generation", F.col("full_prompt_string").alias("prompt")).where("log_id is not null and generation is not null")
-    # texts only travel where a copy is possible: every other row goes through the join as two numbers
-    again = (F.length("generation") >= 4) & may_repeat(F.col("generation"), F.col("prompt"))
-    slim = rows.select("log_id", "task", F.xxhash64("task", fold(F.col("generation"))).alias("tid"), again.alias("again"), "instance_id", "generation", "prompt")
-    slim = slim.select("log_id", "tid", "again", *(F.when(F.col("again"), F.col(c)).alias(c) for c in ("task", "instance_id", "generation", "prompt")))
-    hits = slim.join(tids, "tid", "left_semi").drop("tid")
+    parts, model = prepare(logs, tasks)
+    tids = cut_early(parts).select("tid").unionByName(scored(parts, tasks, model)).distinct()
+    rows = logs.where("log_id is not null and generation is not null").select(F.col("log_id").cast("bigint").alias("log_id"), "task", "instance_id", "generation", F.col("full_prompt_string").alias("prompt"))
+    rows = rows.withColumn("g", fold(F.col("generation"))).withColumn("tid", text_id(0)).withColumn("again", begins_alike(F.col("g"), F.col("prompt")))
+    hits = rows.select("log_id", "tid", "task", "instance_id", "g", F.when(F.col("again"), F.col("prompt")).alias("prompt")).join(tids, "tid", "left_semi")
+    return repeating(hits, instances, tasks, keep=False)
+
+
+def repeating(rows: DataFrame, instances: DataFrame, tasks: DataFrame, keep: bool = True) -> DataFrame:
+    """``log_id``, distinct, of the rows (``log_id``, ``task``, ``instance_id``, ``g``, ``prompt``) whose text only repeats what
+    it was given; of the others, if not ``keep``."""
     given = instances.select("instance_id", "input").dropDuplicates(["instance_id"])
     labels = tasks.select("task", F.col("field_labels").alias("labels")).dropDuplicates(["task"])
-    # what needs no input looks for one that isn't there, each its own, so that nulls don't meet in one task
-    asked = hits.withColumn("wanted", F.when(F.col("again"), F.col("instance_id")).otherwise(F.xxhash64("log_id")))
-    asked = asked.join(given.withColumnRenamed("instance_id", "wanted"), "wanted", "left").join(labels, "task", "left").select("log_id", "again", "generation", "prompt", "input", "labels")
+    # a row without an instance looks for one that isn't there, each its own, so that nulls don't meet in one task
+    wanted = F.coalesce(F.col("instance_id").cast("bigint"), F.xxhash64("log_id"))
+    asked = rows.withColumn("wanted", wanted).drop("instance_id").join(given.withColumnRenamed("instance_id", "wanted"), "wanted", "left").join(labels, "task", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [k for k, again, g, p, i, la in b.itertuples(index=False) if not (again and is_copy(g, i, p, tuple(x for x in la if x) if la is not None else ()))]
-            yield pd.DataFrame({"log_id": out})
+            out = [k for k, g, p, i, la in b.itertuples(index=False) if is_copy(g, i, p, tuple(x for x in la if x) if la is not None else ()) == keep]
+            yield pd.DataFrame({"log_id": out}, dtype="int64")
+
+    return asked.select("log_id", "g", "prompt", "input", "labels").mapInPandas(run, "log_id bigint").distinct()
+
 
-    return asked.mapInPandas(run, "log_id bigint").distinct()
+#: Letters that fold to themselves, or by SAME, so that text of them is equal if and only if it is so after folding.
+_SIMPLE = r"a-z0-9\u00e0-\u00fe\u0430-\u044f\u3041-\u3096\u30a1-\u30fa\u30fc\u4e00-\u9fff"
+_SAME = {chr(o): c for o, c in FOLD_CASED.items() if 0x430 <= o <= 0x44F}
 
 
-def may_repeat(text: F.Column, given: F.Column) -> F.Column:
-    """Every word of the text occurs in what was given, as is so of any copy; false for nulls."""
-    low = F.lower(given)
-    return F.coalesce(F.forall(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.contains(low, w)), F.lit(False))
+def begins_alike(text: F.Column, given: F.Column) -> F.Column:
+    """May the text be the whole of what was given, in another layout? Its first eight letters are the same; or some are
+    such that only ``is_copy`` can tell. False for nulls."""
+    first = r"^[^\p{L}\p{N}\p{M}]*((?:[\p{L}\p{N}\p{M}][^\p{L}\p{N}\p{M}]*){1,8})"
+    a, b = (F.regexp_replace(F.lower(F.regexp_extract(x, first, 1)), r"[^\p{L}\p{N}\p{M}]+", "") for x in (text, given))
+    odd = F.regexp_like(F.concat(a, b), F.lit(f"[^{_SIMPLE}]"))
+    fold_ = [F.translate(x, "".join(_SAME), "".join(_SAME.values())) for x in (a, b)]
+    return F.coalesce((a != "") & (odd | (fold_[0] == fold_[1])), F.lit(False))
 
 
 def shares(logs: DataFrame, runs: DataFrame, cut_ids: DataFrame) -> DataFrame:

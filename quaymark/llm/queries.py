@@ -36,6 +36,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defective(table(spark, d, "instances"), table(spark, d, "logs"), table(spark, d, "tasks"))
 
 
+@query("p1_labels")
+def p1_labels(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.all_labels(table(spark, d, "instances"), table(spark, d, "logs"), table(spark, d, "tasks"))
+
+
 @query("p2_found")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies(table(spark, d, "instances"), _labels(spark, d))

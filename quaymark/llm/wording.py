@@ -22,3 +22,14 @@ WORDS = frozenset(regex.findall(r"\p{L}{3,}", DECLINES.pattern + " " + ITSELF.pa
 )
 #: All words of these patterns; a text without any can't match them.
 CUES = WORDS | frozenset(regex.findall(r"\p{L}+", DECLINES.pattern + " " + ITSELF.pattern))
+
+#: Sentences that decline, to validate what refusals are told by.
+SEEDS = {
+    "en": ("i'm sorry, but i can't help with that.", "i am unable to answer this question.", "as an ai, i cannot do that."),
+    "fr": ("désolé, je ne peux pas répondre à cette question.", "en tant que modèle, je ne peux pas vous aider."),
+    "de": ("ich kann diese frage leider nicht beantworten.", "tut mir leid, ich kann dabei nicht helfen."),
+    "es": ("lo siento, no puedo responder a esa pregunta.", "como modelo no puedo ayudar con eso."),
+    "ru": ("извините, я не могу ответить на этот вопрос.", "к сожалению, я не могу помочь."),
+    "zh": ("对不起，我无法回答这个问题。", "抱歉，我不能帮忙。"),
+    "ja": ("申し訳ありませんが、その質問にはお答えできません。", "すみません、お手伝いできません。"),
+}
