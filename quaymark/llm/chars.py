@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata as U
 
@@ -44,18 +45,31 @@ FOLD = {ord(o): a for o, a in zip(OTHER, LATIN, strict=True)}
 FOLD_CASED = {ord(o.lower()): a.lower() for o, a in zip(OTHER, LATIN, strict=True)}
 
 
+#: Characters that the full way below leaves as they are, case aside, whatever stands beside them: composed Latin letters, ordinary signs, kana, Han.
+_STILL = "\\x00-\\x7f\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b4\u00b6-\u0131\u0134-\u0148\u014a-\u017e\u2013\u2014\u2018-\u201e\u2026\u3001-\u3003\u3005-\u3011\u3041-\u3096\u30a1-\u30fa\u30fc-\u30fe\u4e00-\u9fff"
+_STAYS = re.compile(f"[{_STILL}]*").fullmatch
+#: With Cyrillic letters that aren't composed of a look-alike and a mark.
+_CYRILLIC = re.compile(f"[{_STILL}\u0410-\u044f]*").fullmatch
+
+
 def plain(text: str) -> str:
     """Without ignorables, compatibility forms made plain, marks composed."""
-    return text if text.isascii() else U.normalize("NFC", text.translate(LAYOUT))
+    return text if text.isascii() or _CYRILLIC(text) else U.normalize("NFC", text.translate(LAYOUT))
 
 
 def skeleton(text: str) -> str:
     """Equal for texts of equal look, case kept; only a key, not a spelling."""
-    return text if text.isascii() else U.normalize("NFC", U.normalize("NFD", text.translate(LAYOUT)).translate(FOLD))
+    if text.isascii() or _STAYS(text):
+        return text
+    if _CYRILLIC(text):
+        return text.translate(FOLD)
+    return U.normalize("NFC", U.normalize("NFD", text.translate(LAYOUT)).translate(FOLD))
 
 
 def caseless(text: str) -> str:
     """Equal for texts that differ in look-alikes and case; punctuation and blanks kept."""
-    if text.isascii():
+    if text.isascii() or _STAYS(text):
         return text.casefold()
+    if _CYRILLIC(text):
+        return text.casefold().translate(FOLD_CASED)
     return U.normalize("NFC", U.normalize("NFD", U.normalize("NFD", text.translate(LAYOUT)).casefold()).translate(FOLD_CASED))

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import bisect
 import math
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -276,19 +276,21 @@ def taken_apart(texts: DataFrame, known: set[str]) -> DataFrame:
         made, cache = Patterns(shared.value), {}
         for b in batches:
             segs, rows, flat, sizes = [], [], [], []
-            for t, g in zip(b.column("t").to_pylist(), b.column("g").to_pylist(), strict=True):
+            tables = b.column("t").to_pylist()
+            for t, g in zip(tables, b.column("g").to_pylist(), strict=True):
                 segs.append(made.of(g))
-                ws, cores = tokens(g, cache)
-                found = placed(cores, t)
-                flat += found
-                sizes.append(len(found))
-                n = len(cores)
-                heads = "".join(c[:1] or " " for c in cores[n - min(n, n // 4 + 2) :])
-                ends = "".join("." if w[-1] in _CLOSING and _FINAL.search(w) else " " for w in ws)
-                rows.append((n, xxhash.xxh64_intdigest(" ".join(cores) + "\x00" + ends, t) >> 1, heads[-1:], heads, xxhash.xxh32_intdigest(cores[-1]) >> 1 if cores else 0, mixture(g)))
-            shingles = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat, pa.int64()))
+                found = [cache.get(w) or _word(w, cache) for w in words(body(g))]
+                n = len(found)
+                heads = "".join([w[2] for w in found[n - min(n, n // 4 + 2) :]])
+                flat += [w[0] for w in found]
+                sizes.append(n)
+                kind = xxhash.xxh64_intdigest(array("Q", [w[1] for w in found]).tobytes(), t) >> 1
+                rows.append((n, kind, heads[-1:], heads, found[-1][0] >> 33 if n else 0, mixture(amounts(g))))
+            hashes, text = placed(np.array(flat, np.uint64), np.array(sizes, np.int64), np.array(tables, np.uint64))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(sizes)))]).astype(np.int32)
             kinds = (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64())
             own = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(segs, pa.list_(pa.string())), *own, shingles], [x.split()[0] for x in PARTS.split(", ")])
 
     return texts.select("t", "task", "tid", "copies", "g").mapInArrow(run, PARTS)
@@ -348,12 +350,42 @@ def shingles(tokens: list[str]) -> set[int]:
     return {xxhash.xxh32_intdigest(" ".join(tokens[k : k + SHINGLE])) for k in range(len(tokens) - SHINGLE + 1)}
 
 
-def placed(found: list[str], seed: int = 0) -> list[int]:
-    """Hashes of the distinct word shingles of a text, each with the place where it first stands; [] for fewer words."""
-    joined: dict[str, int] = {}
-    for k in range(len(found) - SHINGLE + 1):
-        joined.setdefault(" ".join(found[k : k + SHINGLE]), k)
-    return list({xxhash.xxh64_intdigest(f"{k} {s}", seed) >> 1 for s, k in joined.items()})
+Word = tuple[int, int, str]
+
+
+def _word(w: str, cache: dict[str, Word]) -> Word:
+    """Hash of a word without its outer signs, the same with whether it ends a sentence, and its first letter (a blank if it has none)."""
+    c = core(w)
+    h = xxhash.xxh64_intdigest(c)
+    out = h, h ^ (w[-1] in _CLOSING and bool(_FINAL.search(w))), c[:1] or " "
+    if len(cache) < 100_000:
+        cache[w] = out
+    return out
+
+
+_MIX = np.array([xxhash.xxh64_intdigest(str(k)) | 1 for k in range(SHINGLE + 2)], np.uint64)
+
+
+def placed(flat: np.ndarray, sizes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct word shingles of texts, each with the place where it first stands, and the text of each.
+
+    ``flat``: the hashes of all words, text by text; ``sizes``: how many words each text has; ``seeds``: texts of
+    different seeds have no shingle in common. A text of fewer than SHINGLE words has none.
+    """
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    whole = place + SHINGLE <= np.repeat(sizes, sizes)
+    sums = np.zeros(len(flat), np.uint64)
+    for k in range(SHINGLE):
+        sums[: len(flat) - k] += flat[k:] * _MIX[k]
+        sums ^= sums >> np.uint64(29)
+    sums, text, place = sums[whole], text[whole], place[whole]
+    order = np.lexsort((place, sums, text))
+    first = np.ones(len(order), bool)
+    first[1:] = (sums[order][1:] != sums[order][:-1]) | (text[order][1:] != text[order][:-1])
+    kept = order[first]
+    out = (sums[kept] ^ (place[kept].astype(np.uint64) * _MIX[SHINGLE])) * _MIX[SHINGLE + 1] + seeds[text[kept]]
+    return ((out ^ (out >> np.uint64(32))) >> np.uint64(1)).astype(np.int64), text[kept]
 
 
 #: Cells in which shingles are counted, to tell the frequent ones: a fixed size, whatever the corpus.
@@ -409,7 +441,9 @@ def _stops(p: list[str], whole: list[str], q: list[str]) -> bool:
 
 def near(p: list[str], q: list[str]) -> bool:
     """Are two texts near-copies: of their shingles, each taken with its first place, SIMILAR are common?"""
-    a, b = set(placed(p)), set(placed(q))
+    flat = np.array([xxhash.xxh64_intdigest(w) for w in (*p, *q)], np.uint64)
+    hashes, text = placed(flat, np.array([len(p), len(q)]), np.zeros(2, np.uint64))
+    a, b = set(hashes[text == 0].tolist()), set(hashes[text == 1].tolist())
     return len(a & b) >= SIMILAR * len(a | b) > 0
 
 
@@ -554,17 +588,48 @@ def _labelled(text: str, labels: tuple[str, ...]) -> list[tuple[str, str]]:
     return list(zip(parts[1::2], parts[2::2], strict=True))
 
 
-def mixture(text: str) -> int:
-    """A hash of the letters, digits and marks of a text by their shares: equal for all texts that only differ in layout,
-    that repeat each other, or that have the same parts in another order."""
-    found = sorted((c, n) for c, n in Counter(caseless(text)).items() if _is_word(c))
-    least = math.gcd(*(n for _, n in found))
-    return xxhash.xxh64_intdigest("".join(f"{c}{n // least} " for c, n in found)) >> 1
+_PLAIN = bytes(c for c in range(256) if not chr(c).isalnum() or c > 127)
+_OTHER = bytes(xxhash.xxh32_intdigest(bytes([c])) & 255 for c in range(256))
+
+
+Amounts = tuple[int, int, int]
+
+
+def amounts(text: str) -> Amounts:
+    """Three sums over the letters, digits and marks of a text whatever its layout; they add up for joined texts."""
+    b = text.lower().encode().translate(None, _PLAIN) if text.isascii() else bare(text).encode("utf-8", "surrogatepass")
+    return len(b), sum(b), sum(b.translate(_OTHER))
 
 
-@lru_cache(maxsize=100_000)
-def _is_word(c: str) -> bool:
-    return not _NOT_WORD.match(c)
+def mixture(found: Amounts) -> int:
+    """Equal for all texts that only differ in layout, that repeat each other, or that have the same parts in another order."""
+    least = math.gcd(*found) or 1
+    return hash(tuple(x // least for x in found))
+
+
+def given_amounts(text: str, labels: tuple[str, ...], names: dict[str, Amounts]) -> Iterator[Amounts]:
+    """Of a whole input, of each of its fields, and of each with its label."""
+    found = _members(text)
+    if found is not None:
+        yield amounts(text)
+        parts = [x for member in found for x in member]
+    else:
+        marker = _markers(labels)
+        head, *parts = marker.split(caseless(text)) if marker else [text]
+        total = amounts(head)
+    for name, f in zip(parts[0::2], parts[1::2], strict=True):
+        if name not in names:
+            if len(names) > 10_000:
+                names.clear()
+            names[name] = amounts(name)
+        own = amounts(f)
+        both = own[0] + names[name][0], own[1] + names[name][1], own[2] + names[name][2]
+        yield own
+        yield both
+        if found is None:
+            total = total[0] + both[0], total[1] + both[1], total[2] + both[2]
+    if found is None:
+        yield total
 
 
 def mixtures(instances: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -572,12 +637,9 @@ def mixtures(instances: DataFrame, tasks: DataFrame) -> DataFrame:
     labels = tasks.select("task", F.col("field_labels").alias("labels")).dropDuplicates(["task"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names: dict[str, Amounts] = {}
         for b in batches:
-            out = set()
-            for i, la in b.itertuples(index=False):
-                out.add(mixture(i))
-                for name, f in _labelled(i, tuple(x for x in la if x) if la is not None else ()):
-                    out |= {mixture(f), mixture(name + f)}
+            out = {mixture(x) for i, la in b.itertuples(index=False) for x in given_amounts(i, tuple(x for x in la if x) if la is not None else (), names)}
             yield pd.DataFrame({"mix": list(out)}, dtype="int64")
 
     return instances.where("input is not null").select("task", "input").join(labels, "task", "left").select("input", "labels").mapInPandas(run, "mix bigint").distinct()
