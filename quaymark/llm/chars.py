@@ -52,6 +52,11 @@ _STAYS = re.compile(f"[{_STILL}]*").fullmatch
 _CYRILLIC = re.compile(f"[{_STILL}\u0410-\u044f]*").fullmatch
 
 
+def stays(text: str) -> bool:
+    """Is the text surely its own skeleton?"""
+    return text.isascii() or bool(_STAYS(text))
+
+
 def plain(text: str) -> str:
     """Without ignorables, compatibility forms made plain, marks composed."""
     return text if text.isascii() or _CYRILLIC(text) else U.normalize("NFC", text.translate(LAYOUT))

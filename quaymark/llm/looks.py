@@ -11,6 +11,7 @@ from __future__ import annotations
 import unicodedata as U
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.llm.chars import CYRILLIC, CYRILLIC_AS, FOLD, GREEK, GREEK_AS, LAYOUT, plain, skeleton
+from quaymark.llm.chars import CYRILLIC, CYRILLIC_AS, FOLD, GREEK, GREEK_AS, LAYOUT, plain, skeleton, stays
 from quaymark.session import cut
 
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}\p{Cf}͏︀-️]+")
@@ -33,7 +34,7 @@ _SHARED = {"l": set(CYRILLIC_AS + GREEK_AS), "c": set(CYRILLIC), "g": set(GREEK)
 
 def script(text: str) -> str:
     """The alphabet that look-alikes are spelled in: that of most letters which have no look-alike; Latin on a tie."""
-    if text.isascii():
+    if stays(text):
         return "l"
     count = {k: sum(c not in _SHARED[k] for c in p.findall(text)) for k, p in (("l", _LAT), ("c", _CYR), ("g", _GRE))}
     return max(("l", "c", "g"), key=lambda k: count[k])
@@ -48,9 +49,10 @@ def spelled(token: str, alphabet: str) -> str:
     return U.normalize("NFC", folded)
 
 
+@lru_cache(maxsize=100_000)
 def is_plain(token: str, alphabet: str) -> bool:
     """Written as the table writes it, so a spelling that others may be brought to."""
-    return token.isascii() and alphabet == "l" or token == spelled(token, alphabet)
+    return alphabet == "l" and stays(token) or token == spelled(token, alphabet)
 
 
 class Trie:
@@ -106,24 +108,26 @@ def vocabulary(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            seen: Counter = Counter()
+            seen: dict[str, Counter] = {"l": Counter(), "c": Counter(), "g": Counter()}
             for t in b["text"]:
-                alphabet = script(t)
-                seen.update((alphabet, w) for w in _TOKEN.findall(t))
-            rows = [(a, w, is_plain(w, a), n, xxhash.xxh32_intdigest(skeleton(w)) & 0x7FFFFFFF) for (a, w), n in seen.items()]
+                seen[script(t)].update(_TOKEN.findall(t))
+            rows = [(a, w, is_plain(w, a), n, xxhash.xxh32_intdigest(skeleton(w)) & 0x7FFFFFFF) for a, found in seen.items() for w, n in found.items()]
             yield pd.DataFrame(rows, columns=["alphabet", "token", "plain", "n", "shard"])
 
     return texts.mapInPandas(run, "alphabet string, token string, plain boolean, n bigint, shard int").groupBy("alphabet", "token", "plain", "shard").agg(F.sum("n").alias("n"))
 
 
-def spellings(vocab: DataFrame, shards: int = 4096) -> DataFrame:
-    """``alphabet``, ``token``, ``spelling`` of every token that isn't plain."""
-    shard = F.col("shard") % shards
+def spellings(vocab: DataFrame) -> DataFrame:
+    """``alphabet``, ``token``, ``spelling`` of every token that isn't plain.
+
+    Tokens are spread and sorted by their shard, which zero-cost edits don't change; a trie is built from as many whole
+    shards as come in a batch, so their number grows with the vocabulary and no trie does.
+    """
     odd = vocab.where("not plain")
     wanted = odd.select("alphabet", "shard").distinct()
-    ours = vocab.where("plain").join(wanted, ["alphabet", "shard"], "left_semi").unionByName(odd)
+    ours = vocab.where("plain").join(wanted, ["alphabet", "shard"], "left_semi").unionByName(odd).select("alphabet", "token", "plain", "shard", "n")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def spell(rows: pd.DataFrame) -> pd.DataFrame:
         tries: dict[str, Trie] = {}
         for a, w, n in rows.loc[rows["plain"], ["alphabet", "token", "n"]].itertuples(index=False):
             tries.setdefault(a, Trie()).add(w, n)
@@ -133,7 +137,17 @@ def spellings(vocab: DataFrame, shards: int = 4096) -> DataFrame:
             out.append((a, w, found if found is not None else spelled(w, a)))
         return pd.DataFrame(out, columns=["alphabet", "token", "spelling"])
 
-    return ours.withColumn("part", shard).groupBy("part").applyInPandas(lambda rows: run(rows), "alphabet string, token string, spelling string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            begun = b["shard"] == b["shard"].iloc[-1]  # may go on in the next batch
+            rest = b[begun]
+            yield spell(b[~begun])
+        if rest is not None:
+            yield spell(rest)
+
+    return ours.repartition("shard").sortWithinPartitions("shard").mapInPandas(run, "alphabet string, token string, spelling string")
 
 
 def consistent(records: DataFrame, key: list[str], text: str = "text") -> DataFrame:
@@ -151,7 +165,7 @@ def consistent(records: DataFrame, key: list[str], text: str = "text") -> DataFr
             for t in b["text"]:
                 alphabet = script(t) if t is not None else "l"
                 marks.append(alphabet)
-                tokens.append([] if t is None or t.isascii() else sorted({w for w in _TOKEN.findall(t) if not is_plain(w, alphabet)}))
+                tokens.append([] if t is None or stays(t) else sorted({w for w in _TOKEN.findall(t) if not is_plain(w, alphabet)}))
             yield b.assign(alphabet=marks, tokens=tokens)
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,7 +196,7 @@ def same_look(records: DataFrame, id_col: str = "instance_id", group: str = "tas
     forms are paired, then their ids, so copies of one form are never compared with each other. Null ids,
     groups and texts and blank texts are no case.
     """
-    named = records.select(F.col(id_col).cast("bigint").alias("id"), F.col(group).alias("grp"), F.col(text).alias("text")).where("id is not null and grp is not null and text is not null").dropDuplicates(["id", "grp", "text"])
+    named = records.select(F.col(id_col).cast("bigint").alias("id"), F.col(group).alias("grp"), F.col(text).alias("text")).where("id is not null and grp is not null and text is not null")
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -192,7 +206,11 @@ def same_look(records: DataFrame, id_col: str = "instance_id", group: str = "tas
             yield out[[bool(x) for x in look]]
 
     keys = cut(consistent(named, ["id", "grp"]).mapInPandas(digest, "id bigint, grp string, look binary, stored binary"))
-    several = keys.groupBy("grp", "look").agg(F.min("stored").alias("least"), F.max("stored").alias("most")).where("least <> most").select("grp", "look")
-    ours = keys.join(several, ["grp", "look"], "left_semi")
-    a, b = ours.select("grp", "look", F.col("id").alias("id_a"), F.col("stored").alias("stored_a")), ours.select("grp", "look", F.col("id").alias("id_b"), F.col("stored").alias("stored_b"))
-    return a.join(b, ["grp", "look"]).where("id_a < id_b and stored_a <> stored_b").select("id_a", "id_b")
+    forms = keys.groupBy("grp", "look", "stored").agg(F.count("*").alias("rows"))
+    several = forms.groupBy("grp", "look").agg(F.min("stored").alias("least"), F.max("stored").alias("most")).where("least <> most").select("grp", "look")
+    ours = cut(keys.join(several, ["grp", "look"], "left_semi").distinct())
+    forms = ours.select("grp", "look", "stored").distinct()
+    apart = forms.withColumnRenamed("stored", "a").join(forms.withColumnRenamed("stored", "b"), ["grp", "look"]).where("a < b")
+    one, two = (ours.select("grp", "look", F.col("stored").alias(c), F.col("id").alias(f"id_{c}")) for c in "ab")
+    pairs = apart.join(one, ["grp", "look", "a"]).join(two, ["grp", "look", "b"]).where("id_a <> id_b")
+    return pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
