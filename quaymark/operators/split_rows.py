@@ -183,3 +183,9 @@ with shaped as (
 )
 select line_id, reason from reasoned where reason is not null
 """
+
+LOADED_SQL = FOUND_SQL.replace(
+    "select line_id, reason from reasoned where reason is not null",
+    """select line_id, r.file_name, r.line_no, f[1] as task, f[2]::bigint as pos, f[3] as lang, f[4] as input, f[5] as output, f[6]::timestamp as loaded_at
+from plain join reasoned using (line_id) join raw_instances r using (line_id) where reason is null""",
+)

@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quaymark.functions import domains
 from quaymark.functions import text as text_functions
@@ -15,7 +14,7 @@ from quaymark.functions.text import named_fill
 from quaymark.operators import dataset, extract, formats, model, prompts, scoring, split_rows
 from quaymark.plans import search
 from quaymark.plans.grammar import Compiled, Items, Template
-from quaymark.plans.templates import CATALOGUE
+from quaymark.plans.templates import CATALOGUE, TASKS
 from quaymark.session import checkpoint_dir
 from quaymark.sources import task_files
 from quaymark.sources.tables import table
@@ -42,7 +41,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return split_rows.rejects(table(spark, d, "raw_instances"), table(spark, d, "tasks"))
 
 
-@query("p4_loaded")
+@query("p4_loaded", split_rows.LOADED_SQL)
 def p4_loaded(spark: SparkSession, d: str) -> DataFrame:
     return split_rows.loadable(table(spark, d, "raw_instances"), table(spark, d, "tasks"))
 
@@ -218,6 +217,66 @@ def space_size(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("template", F.aggregate("sizes", F.lit(1).cast("bigint"), lambda a, x: a * x).alias("formats"))
 
 
+# The original formats of the tasks, those of varying length with two items.
+_ORIGINALS = [
+    (18, "Sentence: {}\nQuestion: {}\nAnswer: {}"),
+    (27, "Passage: {}\nQuestion: {}\nAnswer: {}"),
+    (50, "Sentence: {} \nQuestion: {} \nAnswer: {}"),
+    (65, "Sentence 1: {} \n Sentence 3: {} \n Sentence 4: {} \n Sentence 5: {} \n Option 1: {} \n Option 2: {} \n Answer: {}"),
+    (69, "Beginning: {} Middle 1: {} Middle 2: {} Ending: {} Answer: {}"),
+    (84, "Passage: Fact 1- {} Fact 2- {} Question: {} Answer: {} Final Output: {}"),
+    (113, "Sentence: {}\nAnswer: {}"),
+    (118, "{}\n(A){} (B){} (C){} (D){} (E){}\nAnswer: {}"),
+    (133, "Sentence: {}\n Reason: {}\n Question: {}\n Answer: {}"),
+    (137, "Prompt: {} \nCompletion A: {} \nCompletion B: {} \nAnswer: {}"),
+    (190, "Sentence 1: {} Sentence 2: {} \n Answer: {}"),
+    (213, "Title: {} Sentence 1: {} Sentence 2: {} Sentence 3: {} Sentence 4: {} Choices: a. {} b. {} Answer: {}"),
+    (220, "Sentence 1: {} Sentence 2: {} Sentence 3: {} Sentence 4: {} Sentence 5: {} Choices: a. {} b. {} Answer: {}"),
+    (277, "Context: {}\nAnswer: {}"),
+    (279, "Passage: {}\nAnswer: {}"),
+    (296, "Sentence1: {} Sentence2: {} \n (A) {} (B) {} \n Answer: {}"),
+    (309, "Article: {}\n Question: {}\n Options: (A) {} (B) {} (C) {} (D) {}\n Answer: {}"),
+    (318, "Target: {} \n{} \nAnswer: {}"),
+    (322, "Comment: {}\nAnswer: {}"),
+    (333, "Post: {}\nAnswer: {}"),
+    (385, "Context: {} \n Question: {} \n Options: (A) {} (B) {} (C) {} \n Answer: {}"),
+    (491, "Sentence: {} Question: {} Answer: {}"),
+    (501, "CLAIM : {}. POST : {}. ANSWER : {}"),
+    (697, "{}\n(A){} (B){} (C){} (D){}\nAnswer: {}"),
+    (903, "Review: {}\nPolarity: {}\nAnswer: {}"),
+    (905, "Tweet: {}\nLabel: {}\nAnswer: {}"),
+    (1135, "Question: {} \n Options: A {} B {} C {} D {} E {} \n Answer: {}"),
+    (1162, "Paragraph: {}\n Title: {}\n Answer: {}"),
+    (1186, "System Reference: {}\nOriginal Reference: {}\nAnswer: {}"),
+    (1297, "Fact1: {}, Fact2: {}, Question: {} (A) {} (B) {} (C) {} (D) {} (E) {} (F) {} (G) {} (H) {}, Answer: {}"),
+    (1366, "Paragraph: {}\nClaim: {}\nAnswer: {}"),
+    (1380, "Sentence: {} Question: {} (A) {} (B) {} Answer: {}"),
+    (1387, "Premise: {} <sep> Hypothesis: {} <sep> Answer: {}"),
+    (1419, "Problem: {} \nOptions: a ) {} , b ) {} , c ) {} , d ) {} , e ) {} \nAnswer: {}"),
+    (1431, "Question: {}\n Options:  <1> {} <2> {} <3> {} <4> {} <5> {}\n Answer: {}"),
+    (1587, "Abstract: {}. Title: {}. Answer: {}"),
+    (1612, "sentence_A: {} sentence_B: {} \n Answer: {}"),
+    (1678, "Problem: {}\nOptions: a. {}, b. {}, c. {}, d. {}, e. {}\nAnswer: {}"),
+]
+
+
+@query("template_originals", "select task, original from " + _values(_ORIGINALS) + " t(task, original)")
+def template_originals(spark: SparkSession, d: str) -> DataFrame:
+    first = {id(t): n for n, t in sorted(TASKS.items(), reverse=True)}  # a task of each shape, the one of the least number
+    parts = [spark.range(1).select(F.lit(n).alias("task"), Compiled(TASKS[n], original=True).render(length=2 if TASKS[n].lengths else None).alias("original")) for n in first.values()]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query("template_classes", "select * from " + _values([(65, "Option 1|Option 2"), (137, "Completion A|Completion B"), (309, "A|B|C|D"), (1431, "1|2|3|4|5")]) + " t(task, classes)")
+def template_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The class names of tasks whose answers are options, in their original format."""
+    parts = [spark.range(1).select(F.lit(n).alias("task"), F.array_join(Compiled(TASKS[n], original=True).classes(), "|").alias("classes")) for n in (65, 137, 309, 1431)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 _DOMAIN_ROWS = [(k, i, v) for k, vs in domains.DOMAINS.items() for i, v in enumerate(vs)]
 
 
@@ -397,15 +456,17 @@ def full_evaluation_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.scored(table(spark, d, "logs"))
+    """Scored log rows, each once however often it was delivered, as the stream counts them."""
+    rows = scoring.scored(table(spark, d, "logs")).select("log_id", "node_id", "task", "dataset_idx", "is_right", "is_wrong", "is_other")
+    return rows.dropDuplicates(["log_id"])
 
 
-_LOG_SQL = _sql_scored("logs", "log_id, node_id, task, dataset_idx")
+_LOG_SQL = f"select distinct on (log_id) * from ({_sql_scored('logs', 'log_id, node_id, task, dataset_idx')})"
 
 
-@query("prefix_match_log", f"select log_id, is_right, is_wrong, not (is_right or is_wrong) as is_other from ({_LOG_SQL})")
+@query("prefix_match_log", f"select log_id, is_right, is_wrong, not (is_right or is_wrong) as is_other from ({_sql_scored('logs', 'log_id')})")
 def prefix_match_log(spark: SparkSession, d: str) -> DataFrame:
-    return _log(spark, d).select("log_id", "is_right", "is_wrong", "is_other")
+    return scoring.scored(table(spark, d, "logs")).select("log_id", "is_right", "is_wrong", "is_other")
 
 
 _ACC_SQL = f'select node_id, round(avg(is_right::int), 9) as "right", round(avg(is_wrong::int), 9) as wrong, count(*) filter (not is_right and not is_wrong) as other, count(*) as total from ({_LOG_SQL}) group by node_id'
@@ -482,17 +543,35 @@ def ucb_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query("thompson_run")
 def thompson_run(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("node_id").orderBy("task", "dataset_idx", "log_id")
-    log = table(spark, d, "logs").dropDuplicates(["log_id"]).withColumn("rank", F.row_number().over(order)).where("rank <= 1000").withColumn("eval_pos", F.col("rank") - 1)
-    names, grid = search.outcomes(log)
-    found = search.two_phases(names, grid, 400 * 20, 20, seed=7)
+    """All rows of every format, in an order of its own; the original format is the one of gen_order 0."""
+    rows = table(spark, d, "logs").where("log_id is not null and node_id is not null").dropDuplicates(["log_id"]).select("log_id", "node_id", "generation", "answer", "output_classes")
+    log = dataset.permuted(scoring.scored(rows).select("log_id", "node_id", "is_right"), "7", "node_id", "log_id").withColumnRenamed("place", "eval_pos")
+    original = table(spark, d, "formats").where("gen_order = 0").select("node_id").first()
+    found = search.search_arms(search.outcomes(log, 20, 400), 400 * 20, 7, original=original.node_id)
     return spark.createDataFrame(found.trace, "phase string, step int, node_id string, successes bigint, trials bigint, best_so_far string")
 
 
+_ARM_ROWS = f"select node_id, is_right, row_number() over (partition by node_id order by md5('7|' || log_id), log_id) - 1 as eval_pos from (select distinct on (log_id) log_id, node_id, is_right from ({_LOG_SQL}))"
+
+
+@query("arm_outcomes", f"select node_id, least(eval_pos // 20, 40) as batch, sum(is_right::int)::bigint as hits, count(*) as n from ({_ARM_ROWS}) group by 1, 2")
+def arm_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What the search plays with, of the first 40 batches, and the rest together."""
+    log = dataset.permuted(_log(spark, d).dropDuplicates(["log_id"]).select("log_id", "node_id", "is_right"), "7", "node_id", "log_id").withColumnRenamed("place", "eval_pos")
+    arms = search.outcomes(log, 20, 40)
+    rows = []
+    for k, node in enumerate(arms.nodes):
+        each = list(zip(arms.right[k].tolist(), arms.size[k].tolist(), strict=True))
+        rest = int(arms.total_right[k]) - sum(r for r, _ in each), int(arms.total[k]) - sum(n for _, n in each)
+        rows += [(node, b, r, n) for b, (r, n) in enumerate([*each, rest] if rest[1] else each)]
+    return spark.createDataFrame(rows, "node_id string, batch bigint, hits bigint, n bigint")
+
+
 @query("run_document")
 def run_document(spark: SparkSession, d: str) -> DataFrame:
     acc = _acc(spark, d).join(table(spark, d, "formats").select("node_id", "node", "gen_order"), "node_id")
-    return task_files.run_document(acc, _log(spark, d)).select(F.to_json(F.struct("generation_order", "edges", "accuracies", "metadata")).alias("document"))
+    document = task_files.run_document(acc, _log(spark, d), {"metric": "exact_prefix_matching", "table": "logs"})
+    return document.select(F.to_json(F.struct(*document.columns)).alias("document"))
 
 
 @query("json_roundtrip")

@@ -266,16 +266,20 @@ class Compiled:
             return _joined(parts, self.space(node))
         return _joined([self._render(c, with_output, length, text) for c in node.children], self.space(node))
 
-    def enumeration_names(self) -> list[tuple[str, Column]]:
-        """('enum1_1', label) for every item of every enumeration, numbered in the order of the tree."""
+    def _enumerations(self) -> list[tuple[str, Items]]:
+        """The last enumeration, whose items may be the answer, is 'enum1', one before it 'enum0'."""
         found = [n for n in walk(self.template.root) if isinstance(n, Items)]
-        return [(f"enum{e}_{k}", self.numbered(n, i)) for e, n in enumerate(found, 1) for k, i in enumerate(n.items, 1)]
+        return [(f"enum{1 - k}", n) for k, n in enumerate(reversed(found))][:2][::-1]
+
+    def enumeration_names(self) -> list[tuple[str, Column]]:
+        """('enum1_1', label) for every item of the enumerations that an instruction may name."""
+        return [(f"{e}_{k}", self.numbered(n, i)) for e, n in self._enumerations() for k, i in enumerate(n.items, 1)]
 
     def classes(self) -> Column:
-        """The class names under the template's class pattern, one per item of its first enumeration."""
-        first = next(n for n in walk(self.template.root) if isinstance(n, Items))
+        """The class names under the template's class pattern, one per item of the enumeration 'enum1'; the wrapper and the casing don't count."""
+        options = dict(self._enumerations())["enum1"]
         left, right = (self.template.class_template or "{enum1}").split("{enum1}")
-        return F.array(*(F.concat(F.lit(left), self.numbered(first, i), F.lit(right)) for i in first.items))
+        return F.array(*(F.concat(F.lit(left), self.numbered(options, i), F.lit(right)) for i in options.items))
 
 
 def _breaks(value: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from quaymark.operators import dataset, extract, formats, model, prompts, scoring
 from quaymark.plans import search
 from quaymark.plans.grammar import Compiled, Template
+from quaymark.plans.templates import OPEN_NAMES
+from quaymark.session import cut
 from quaymark.sources.task_files import output_name
 
 
@@ -84,8 +86,8 @@ def answered(spark: SparkSession, instances: DataFrame, definition: str, s: Sett
     """A log row for every format and test row: node_id, node, eval_pos, generation, answer, output_classes."""
     s.check()
     ranked = s.metric == "probability_ranking"
-    if ranked and (factory is None or not classes):
-        raise ValueError("ranking needs a model that gives logits, and classes")
+    if ranked and (factory is None or not classes or len(classes) >= 100):
+        raise ValueError("ranking needs a model that gives logits, and classes, fewer than 100")
     rows = prepared(instances, s, original)
     nodes = chosen(spark, s).withColumn("task", F.lit(s.task)).withColumn("instruction", F.lit(definition))
     test = dataset.interval(rows.where("part = 'test'"), 0, s.samples)
@@ -93,14 +95,14 @@ def answered(spark: SparkSession, instances: DataFrame, definition: str, s: Sett
     if s.n_shot and (found := demos.count()) < s.n_shot:
         raise ValueError(f"{found} of {s.n_shot} demonstrations")
     blocks = prompts.demo_block(nodes, demos, s.n_shot) if s.n_shot else None
-    asked = prompts.full_prompts(nodes, test, blocks).join(test.select("dataset_idx", "eval_pos", "instance_id", "answer"), "dataset_idx").join(nodes.select("node_id", "node"), "node_id")
+    asked = prompts.full_prompts(nodes, test, blocks).join(test.select("dataset_idx", "eval_pos", "instance_id", "answer"), "dataset_idx").join(nodes.select("node_id", "node", "gen_order"), "node_id")
     asked = asked.withColumn("output_classes", F.array(*map(F.lit, classes)) if classes else F.array("answer"))
     if ranked:
         logits = model.rank_classes(asked, factory)
         return logits.withColumn("generation", F.element_at("output_classes", (scoring.argmax(F.col("logits"), last=False) + 1).cast("int")))
     if factory is None:
         return asked.withColumn("generation", model.mock("node", F.col("instance_id").cast("string"), F.col("answer"), F.col("output_classes")))
-    return model.generate(asked, factory)
+    return model.generate(asked, factory, model.max_tokens(s.task, OPEN_NAMES))
 
 
 def run(spark: SparkSession, instances: DataFrame, definition: str, s: Settings, classes: list[str] | None = None, factory: Callable | None = None, original: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -114,7 +116,9 @@ def run(spark: SparkSession, instances: DataFrame, definition: str, s: Settings,
     if s.budget is None:
         acc = scoring.accuracy(log, "node_id", "node")
         return acc, scoring.best_worst(acc)
-    names, grid = search.outcomes(log)
-    found = search.two_phases(names, grid, s.budget, s.batch, int(s.seed) if s.seed.isdigit() else 0)
+    log = cut(log.select("node_id", "eval_pos", "gen_order", "is_right"))
+    original = log.where("gen_order = 0").select("node_id").first()
+    arms = search.outcomes(log, s.batch, s.budget // s.batch)
+    found = search.search_arms(arms, s.budget, int(s.seed) if s.seed.isdigit() else 0, original=original.node_id)
     acc = spark.createDataFrame([(n, int(a), int(b)) for n, a, b in zip(found.nodes, found.successes, found.trials, strict=True) if b], "node_id string, successes bigint, trials bigint")
     return acc, spark.createDataFrame([(found.best("highest"), found.best("lowest"))], "best string, worst string")

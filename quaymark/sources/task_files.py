@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,11 +52,21 @@ def read_formats(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FORMATS).json(path)
 
 
-def run_document(acc: DataFrame, log: DataFrame) -> DataFrame:
-    """One row: ``generation_order``, ``edges`` (empty), accuracies per node, and the settings as a struct."""
+def run_document(acc: DataFrame, log: DataFrame, settings: dict[str, str] | None = None, trace: DataFrame | None = None) -> DataFrame:
+    """One row: ``generation_order``, ``edges`` (empty), the accuracies of each node, and ``metadata``: the settings, and of
+    the log how many rows of each outcome every node has; of a search (``trace``) its steps in order.
+
+    Bounded by the number of formats and of steps.
+    """
     ordered = F.map_from_entries(F.array_sort(F.collect_list(F.struct("node", F.col("gen_order").cast("int")))))
     results = F.map_from_entries(F.array_sort(F.collect_list(F.struct("node", F.array("right", "wrong", F.col("total").cast("double"))))))
-    return acc.agg(ordered.alias("generation_order"), F.array().cast("array<string>").alias("edges"), results.alias("accuracies"), F.struct(F.sum("total").alias("rows"), F.count("*").alias("nodes")).alias("metadata"))
+    head = acc.agg(ordered.alias("generation_order"), F.array().cast("array<string>").alias("edges"), results.alias("all_structured_prompt_formats_accuracies"))
+    counts = {k: F.count_if(F.col(f"is_{k}")).alias(k) for k in ("right", "wrong", "other")}
+    each = log.groupBy("node_id").agg(*counts.values(), F.count("*").alias("rows")).join(acc.select("node_id", "node"), "node_id")
+    nodes = each.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("node", F.struct("right", "wrong", "other", "rows").alias("counts"))))).alias("nodes"), F.sum("rows").alias("rows"))
+    told = F.from_json(F.lit(json.dumps(settings or {})), "map<string,string>")
+    steps = nodes.sparkSession.range(1).select(F.lit(None).cast("array<string>").alias("steps")) if trace is None else trace.agg(F.array_sort(F.collect_list(F.struct("phase", "step", "node_id", "successes", "trials", "best_so_far"))).alias("steps"))
+    return head.join(nodes.join(steps).select(F.struct(told.alias("settings"), "nodes", "rows", F.col("steps").alias("thompson_sampling")).alias("metadata")))
 
 
 def output_name(task: str, model: str, metric: str, n_shot: int, n_formats: int, search: str = "full") -> str:
