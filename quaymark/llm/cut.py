@@ -562,7 +562,7 @@ def fields(text: str, labels: tuple[str, ...]) -> list[str]:
 def is_copy(generation: str, whole: str | None, prompt: str | None, labels: tuple[str, ...]) -> bool:
     """Is a generation nothing but its prompt, its whole input or a whole field of it again, once or repeatedly, in any layout?"""
     g = bare(generation)
-    if len(g) < 4:
+    if not g:
         return False
     sources = []
     if whole:
@@ -573,7 +573,7 @@ def is_copy(generation: str, whole: str | None, prompt: str | None, labels: tupl
             sources.append(bare(name) + bare(f))
     if prompt:
         sources.append(bare(prompt))
-    if any(s and len(s) >= 4 and len(g) % len(s) == 0 and g == s * (len(g) // len(s)) for s in sources):
+    if any(s and len(g) % len(s) == 0 and g == s * (len(g) // len(s)) for s in sources):
         return True
     # the whole input with its fields in another order
     return bool(whole and labels) and len(g) == len(sources[0]) and canonical(generation, labels) == canonical(whole, labels)

@@ -124,3 +124,13 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
     split = rows.where(long).select(F.monotonically_increasing_id().alias("row"), key, "text").mapInPandas(pieces, f"row bigint, {key} bigint, n int, piece string").repartition("row", "n")
     whole = split.mapInArrow(one, f"row bigint, {key} bigint, n int, ids array<int>").groupBy("row", key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("ids"))
     return small.unionByName(whole.select(key, "ids"))
+
+
+def decoded(ids: DataFrame, key: str = "doc_id", path: str = VOCABULARY) -> DataFrame:
+    """``key``, ``text`` of rows of ``key``, ``ids``; '' for an empty or null list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode(x or [], path) for x in b.column(1).to_pylist()], pa.string())], [key, "text"])
+
+    return ids.select(F.col(key).cast("bigint").alias(key), "ids").mapInArrow(run, f"{key} bigint, text string")

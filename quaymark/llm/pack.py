@@ -23,6 +23,8 @@ from quaymark.session import cut as write_once
 SHARD = 20_000
 #: A container with more than this share of its capacity left is opened again.
 ROOM = 0.004
+#: Another round must save this share of the containers opened again.
+SAVED = 0.001
 
 
 @dataclass(frozen=True)
@@ -36,7 +38,10 @@ class Limits:
 
 
 def best_fit(sizes: np.ndarray, capacity: int, limits: Limits = Limits()) -> np.ndarray:
-    """The container of each item, numbered from 0. Sizes must be positive, in decreasing order and at most ``capacity``."""
+    """The container of each item, numbered from 0. Sizes must be positive, in decreasing order and at most ``capacity``.
+
+    An item whose own attention cost exceeds the limit gets a container for itself.
+    """
     n = len(sizes)
     placed = np.empty(n, np.int64)
     caps = np.array([capacity, limits.documents or n + 1, limits.attention * float(capacity) ** 2], float)
@@ -97,26 +102,34 @@ def pack(items: DataFrame, key: str = "doc_id", limits: Limits = Limits(), shard
     """``container_kind``, ``capacity``, ``container``, ``key``, ``piece``, ``size``: the container of each piece.
 
     Pieces are spread over shards by a hash of their key, so a hot key or source doesn't make a hot shard. Each
-    round packs all shards at once; the pieces of containers with room left go on to another round as long as they
-    are at most half of it, so rounds get fewer shards and no shard ever grows.
-    Containers are numbered alike in every run over the same data.
+    round packs all shards at once; the pieces of containers with room left go on to another round, spread anew, until
+    they fit one shard or a round saves less than SAVED of the containers that it opened again. No shard ever grows.
+    Every piece is placed. Containers are numbered alike in every run over the same data.
     """
     schema = f"container_kind string, capacity bigint, container bigint, {key} bigint, piece bigint, size bigint, open boolean, turn int"
-    pool, done, turn = write_once(items), None, 0
+    pool, done, turn, before = write_once(items), None, 0, None
     while True:
         total = pool.groupBy("container_kind").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
         shards = max(1, -(-total // shard))
         spread = pool.withColumn("part", F.pmod(F.xxhash64(key, "piece", F.lit(turn)), F.lit(shards)).cast("bigint"))
         packed = write_once(spread.groupBy("container_kind", "part").applyInPandas(_packer(key, limits, turn, shards == 1), schema))
+        used = packed.groupBy("container_kind", "container", "open").agg(F.lit(1).alias("one")).agg(F.count("*").alias("all"), F.count_if("open").alias("open")).first()
+        if shards == 1 or before is not None and before - used["all"] < SAVED * before:
+            last = packed.drop("open", "turn")
+            return last if done is None else done.unionByName(last)
         closed = packed.where("not open").drop("open", "turn")
         done = closed if done is None else done.unionByName(closed)
-        if shards == 1:
-            return done
-        left = packed.where("open")
-        again = left.groupBy("container_kind").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        if again > total // 2:  # sizes that don't go together: another round wouldn't fill them either
-            return done.unionByName(left.drop("open", "turn"))
-        pool, turn = left.select(key, "container_kind", "capacity", "piece", "size"), turn + 1
+        pool, turn, before = packed.where("open").select(key, "container_kind", "capacity", "piece", "size"), turn + 1, used["open"]
+
+
+def violations(packed: DataFrame, limits: Limits) -> DataFrame:
+    """``container_kind``, ``container`` of every container that exceeds a limit; a piece that alone exceeds the attention
+    cost has a container of its own, which is none. There are no such containers."""
+    each = packed.groupBy("container_kind", "capacity", "container").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"), F.sum(F.col("size").cast("double") ** 2).alias("cost"))
+    over = (F.col("tokens") > F.col("capacity")) | (F.col("n") > 1) & (F.col("cost") > limits.attention * F.col("capacity").cast("double") ** 2)
+    if limits.documents:
+        over |= F.col("n") > limits.documents
+    return each.where(over).select("container_kind", "container")
 
 
 def _packer(key: str, limits: Limits, turn: int, last: bool):

@@ -51,7 +51,7 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return copies.counts(copies.keyed(table(spark, d, "instances"), _labels(spark, d))).select("kept_id", "copies")
 
 
-@query("p2_collisions")
+@query("p2_collisions", "select task as grp, input as h, instance_id as least, instance_id as most from instances where false")
 def p2_collisions(spark: SparkSession, d: str) -> DataFrame:
     return copies.collisions(copies.keyed(table(spark, d, "instances"), _labels(spark, d)))
 
@@ -86,6 +86,12 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encoded(table(spark, d, "documents"))
 
 
+@query("p7_roundtrip", "select doc_id, md5(coalesce(text, '')) as text_md5 from documents")
+def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, encoded and decoded again."""
+    return encode.decoded(encode.encoded(table(spark, d, "documents"))).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(pack.pieces(pack.sizes(table(spark, d, "documents")), table(spark, d, "containers")))
 
@@ -100,6 +106,40 @@ def p8_filled(spark: SparkSession, d: str) -> DataFrame:
     return pack.filled(_packed(spark, d))
 
 
+#: Limits of documents and attention cost that bind, under both rules.
+LIMITED = {rule: pack.Limits(documents=24, attention=0.4, rule=rule) for rule in ("dot", "norm")}
+
+
+def _limited(spark: SparkSession, d: str) -> DataFrame:
+    items = pack.pieces(pack.sizes(table(spark, d, "documents")), table(spark, d, "containers"))
+    by_rule = [pack.pack(items, limits=x).withColumn("rule", F.lit(rule)) for rule, x in LIMITED.items()]
+    return by_rule[0].unionByName(by_rule[1])
+
+
+@query("p8_limited")
+def p8_limited(spark: SparkSession, d: str) -> DataFrame:
+    """Packed under all three capacities by the dot-product and by the norm."""
+    return _limited(spark, d)
+
+
+@query("p8_violations", "select '' as rule, container_kind, 0 as container from containers where false")
+def p8_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of ``p8_limited`` that exceed a limit: none."""
+    packed = _limited(spark, d)
+    parts = [pack.violations(packed.where(F.col("rule") == rule), x).withColumn("rule", F.lit(rule)) for rule, x in LIMITED.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("p8_unplaced", "select container_kind, 0 as doc_id from containers where false")
+def p8_unplaced(spark: SparkSession, d: str) -> DataFrame:
+    """Texts whose pieces in a kind of container don't make up all of their tokens: none."""
+    measured = pack.sizes(table(spark, d, "documents")).groupBy("doc_id").agg(F.sum("tokens").alias("tokens"))
+    kinds = table(spark, d, "containers").where("container_kind is not null and capacity > 0").select("container_kind").distinct()
+    placed = _packed(spark, d).groupBy("container_kind", "doc_id").agg(F.sum("size").alias("placed"))
+    wanted = measured.withColumn("one", F.lit(1)).join(kinds.withColumn("one", F.lit(1)), "one")  # a few kinds
+    return wanted.join(placed, ["container_kind", "doc_id"], "full").where("not (tokens <=> placed)").select("container_kind", "doc_id")
+
+
 @query("p9_found")
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents"))

@@ -94,3 +94,21 @@ def test_sizes_that_never_go_together(spark):
     items = spark.range(400).selectExpr("id as doc_id", "'k' as container_kind", "10L as capacity", "0L as piece", "6L as size")
     got = pack.pack(items, shard=50).toPandas()
     assert len(got) == 400 and got["container"].nunique() == 400
+
+
+@pytest.mark.parametrize("rule", ["dot", "norm"])
+def test_limits_bind(spark, sf_dir, rule):
+    """All three capacities hold, and documents and attention cost cost containers."""
+    items = pack.pieces(pack.sizes(table(spark, sf_dir, "documents")), table(spark, sf_dir, "containers"))
+    limits = pack.Limits(documents=6, attention=0.4, rule=rule)
+    packed = pack.pack(items, limits=limits)
+    assert pack.violations(packed, limits).count() == 0
+    free = pack.filled(pack.pack(items)).toPandas().set_index("container_kind")["containers"]
+    bound = pack.filled(packed).toPandas().set_index("container_kind")["containers"]
+    assert (bound >= free).all() and bound.sum() > free.sum()
+
+
+def test_decoding(spark):
+    docs = spark.createDataFrame([(1, "a text <|endoftext|>\n é 文"), (2, ""), (3, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in encode.decoded(encode.encoded(docs)).collect()}
+    assert got == {1: "a text <|endoftext|>\n é 文", 2: "", 3: ""}
