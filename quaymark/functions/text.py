@@ -40,6 +40,12 @@ def named_fill(text: Column, values: list[tuple[str, Column]]) -> Column:
     return out
 
 
+def without_echo(text: Column, prompt: Column) -> Column:
+    """What a model wrote after its prompt; all of it where it doesn't begin with the prompt (case aside)."""
+    echoed = F.coalesce(F.startswith(F.lower(text), F.lower(prompt)), F.lit(False))
+    return F.when(echoed, F.substring(text, F.length(prompt) + 1, F.length(text))).otherwise(text)
+
+
 def titled(text: Column) -> Column:
     """First letter of each word in upper case, where words are runs of letters."""
     low = F.split(F.lower(text), "")

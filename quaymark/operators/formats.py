@@ -117,10 +117,11 @@ def _turn(k: Column, salt: str, n: Column | int) -> Column:
     return F.pmod(digest, n if isinstance(n, Column) else F.lit(n))
 
 
-def edges(spark: SparkSession, template: Template, n: int, seed: str = "0") -> DataFrame:
+def edges(spark: SparkSession, template: Template, n: int, seed: str = "0", keep: bool = False) -> DataFrame:
     """``n`` edges of two valid assignments that differ in one slot, the slots taken in turn, no assignment twice.
 
-    ``edge``, ``slot``, ``node_a``, ``node_b``. Fewer are returned only where the space is used up.
+    ``edge``, ``slot``, ``node_a``, ``node_b``; with ``keep`` also the assignments as JSON, ``a`` and ``b``. Fewer are
+    returned only where the space is used up.
     """
     slots = template.slots()
     start = sample(spark, template, min(3 * n, max(1, template.size() // 8)), seed)
@@ -133,13 +134,13 @@ def edges(spark: SparkSession, template: Template, n: int, seed: str = "0") -> D
     ends = pairs.select("k", F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.min("k").alias("k"))
     free = pairs.join(ends.select(F.col("end").alias("a"), F.col("k").alias("ka")), "a").join(ends.select(F.col("end").alias("b"), F.col("k").alias("kb")), "b").where("k = ka and k = kb")
     out = free.withColumn("edge", F.row_number().over(Window.orderBy("k")) - 1).where(F.col("edge") < n)
-    return out.select("edge", "slot", "node_a", "node_b")
+    return out.select("edge", "slot", "node_a", "node_b", *(("a", "b") if keep else ()))
 
 
-def paths(start: DataFrame, template: Template, seed: str = "0", most: int = 300) -> DataFrame:
+def paths(start: DataFrame, template: Template, seed: str = "0", most: int = 300, keep: bool = False) -> DataFrame:
     """Two steps from each of the first ``most`` assignments: three distinct formats, one slot changed at a time.
 
-    ``cand_id``, ``node_0``, ``node_1``, ``node_2``; of all such paths of a start the one whose digest is least.
+    ``cand_id``, ``node_0``, ``node_1``, ``node_2`` (with ``keep`` also the assignments as JSON, ``v0``, ``v1``, ``v2``); of all such paths of a start the one whose digest is least.
     """
     slots = template.slots()
     heads = start.withColumn("k", F.row_number().over(Window.orderBy("cand_id"))).where(F.col("k") <= most)
@@ -149,7 +150,9 @@ def paths(start: DataFrame, template: Template, seed: str = "0", most: int = 300
     two = valid(neighbours(first, template, keep=("cand_id", "turn", "node_0", "node_1", "v0")), template)
     two = two.where(F.to_json(F.struct(*(F.col(s.column) for s in slots))) != F.col("v0"))
     best = Window.partitionBy("cand_id").orderBy("turn", _turn(F.concat_ws("|", "cand_id", "slot", "value"), seed + "'", 1 << 30), "slot", "value")
-    return two.withColumn("node_2", Compiled(template).render()).withColumn("rank", F.row_number().over(best)).where("rank = 1").select("cand_id", "node_0", "node_1", "node_2")
+    v1, v2 = F.struct(*(F.col(f"_{s.column}").alias(s.column) for s in slots)), F.struct(*(F.col(s.column) for s in slots))
+    last = two.withColumn("node_2", Compiled(template).render()).withColumn("rank", F.row_number().over(best)).where("rank = 1")
+    return last.select("cand_id", "node_0", "node_1", "node_2", *(("v0", F.to_json(v1).alias("v1"), F.to_json(v2).alias("v2")) if keep else ()))
 
 
 def lookup(names: DataFrame, domains: DataFrame) -> DataFrame:
@@ -158,3 +161,21 @@ def lookup(names: DataFrame, domains: DataFrame) -> DataFrame:
     found = names.join(first, ["action_type", "name"], "left")
     unknown = F.raise_error(F.concat(F.lit("no such value: "), F.col("name"))).cast("int")
     return found.withColumn("idx", F.coalesce("idx", unknown))
+
+
+def from_names(stored: DataFrame, template: Template) -> DataFrame:
+    """Assignments from the ``names`` of their values (``cand_id``): each name's first place in its domain."""
+    slots = template.slots()
+
+    def place(k: int, slot: Slot) -> Column:
+        name = F.try_element_at("names", F.lit(k + 1))
+        at = F.array_position(F.array(*map(F.lit, DOMAINS[slot.kind])), name)
+        return F.when(at > 0, (at - 1).cast("int")).otherwise(F.raise_error(F.concat(F.lit("no such value: "), F.coalesce(name, F.lit("null")))).cast("int")).alias(slot.column)
+
+    return stored.select("cand_id", *(place(k, s) for k, s in enumerate(slots)))
+
+
+def from_json(rows: DataFrame, template: Template, column: str = "v") -> DataFrame:
+    """Assignments from JSON of their slots (``cand_id``, ``column``)."""
+    kinds = ", ".join(f"{s.column} int" for s in template.slots())
+    return rows.select("cand_id", F.from_json(column, kinds).alias("x")).select("cand_id", "x.*")

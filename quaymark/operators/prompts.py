@@ -18,6 +18,19 @@ def asked(node: Column, fields: Column) -> Column:
     return filled(node, F.concat(fields, F.array(F.lit(""))))
 
 
+def current(answer: Column, originals: Column, classes: Column) -> Column:
+    """An answer under a format's own class names; where it has none the answer itself. An answer that is no class is an error."""
+    at = F.array_position(originals, answer)
+    unknown = F.raise_error(F.concat(F.lit("no such class: "), answer)).cast("string")
+    return F.when(classes.isNull(), answer).when(at > 0, F.try_element_at(classes, at.cast("int"))).otherwise(unknown)
+
+
+def _node(rows: DataFrame) -> Column:
+    """The format of a row: the variant of its number of items, where formats have such."""
+    known = "variants" in rows.columns and "regex_key" in rows.columns
+    return F.coalesce(F.try_element_at("variants", F.col("regex_key")), F.col("node")) if known else F.col("node")
+
+
 def demo_block(nodes: DataFrame, demos: DataFrame, n_shot: int) -> DataFrame:
     """``task``, ``node_id``, ``block``: the instruction and the first ``n_shot`` demonstrations in each format.
 
@@ -25,7 +38,8 @@ def demo_block(nodes: DataFrame, demos: DataFrame, n_shot: int) -> DataFrame:
     by an empty line in order of ``place``. With too few demonstrations there are fewer.
     """
     each = nodes.join(demos.where(F.col("place") < n_shot), "task")
-    text = shown(F.col("node"), F.concat("fields", F.array("answer")))
+    answer = current(F.col("answer"), F.col("originals"), F.col("classes")) if "classes" in nodes.columns else F.col("answer")
+    text = shown(_node(each), F.concat("fields", F.array(answer)))
     ordered = F.array_sort(F.collect_list(F.struct("place", text.alias("text"))))
     return each.groupBy("task", "node_id", "instruction").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("shots")).select("task", "node_id", F.concat_ws("\n\n", "instruction", "shots").alias("block"))
 
@@ -35,7 +49,8 @@ def full_prompts(nodes: DataFrame, rows: DataFrame, blocks: DataFrame | None) ->
 
     Without demonstrations (``blocks`` null) the prompt is the row alone, without the instruction.
     """
-    cross = rows.join(nodes, "task").withColumn("input_part", asked(F.col("node"), F.col("fields")))
+    cross = rows.join(nodes, "task")
+    cross = cross.withColumn("input_part", asked(_node(cross), F.col("fields")))
     if blocks is None:
         return cross.select("task", "node_id", "dataset_idx", F.col("input_part").alias("prompt"))
     return cross.join(blocks, ["task", "node_id"]).select("task", "node_id", "dataset_idx", F.concat_ws("\n\n", "block", "input_part").alias("prompt"))

@@ -15,7 +15,7 @@ from quaymark.operators import dataset, extract, formats, model, prompts, scorin
 from quaymark.plans import search
 from quaymark.plans.grammar import Compiled, Items, Template
 from quaymark.plans.templates import CATALOGUE, TASKS
-from quaymark.session import checkpoint_dir
+from quaymark.session import folder
 from quaymark.sources import task_files
 from quaymark.sources.tables import table
 
@@ -351,7 +351,7 @@ def class_remap(spark: SparkSession, d: str) -> DataFrame:
 
 # --- prompts and evaluation ---------------------------------------------------------------------------------------
 
-N_SHOT, SAMPLES = 2, 20
+N_SHOT = 2
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -376,13 +376,13 @@ def demo_block(spark: SparkSession, d: str) -> DataFrame:
     return blocks.select("task", "node_id", F.md5(F.encode("block", "UTF-8")).alias("block_md5"))
 
 
-def _prompted(spark: SparkSession, d: str, shots: int, samples: int = SAMPLES) -> DataFrame:
+def _prompted(spark: SparkSession, d: str, shots: int) -> DataFrame:
     rows, nodes = _rows(spark, d), _nodes(spark, d)
     blocks = prompts.demo_block(nodes, rows.where("part = 'demo'"), shots) if shots else None
-    return prompts.full_prompts(nodes, dataset.interval(rows.where("part = 'test'"), 0, samples, "dataset_idx"), blocks)
+    return prompts.full_prompts(nodes, rows.where("part = 'test'"), blocks)
 
 
-_TEST_SQL = f"select *, place - 10 as dataset_idx from ({_ROWS_SQL}) where place >= 10 and place < {10 + SAMPLES}"
+_TEST_SQL = f"select *, place - 10 as dataset_idx from ({_ROWS_SQL}) where place >= 10"
 
 
 @query("full_prompts", f"select task, node_id, dataset_idx, md5(block || chr(10) || chr(10) || a || input || b || c) as prompt_md5 from ({_TEST_SQL}) join ({_NODES_SQL}) using (task) join ({_BLOCK_SQL}) using (task, node_id)")
@@ -421,40 +421,13 @@ g as (select *, case h3 % 3 when 0 then ' ' || said || '.' when 1 then '(' || sa
 select task, node_id, round(avg(is_right::int), 9) as "right", round(avg(is_wrong::int), 9) as wrong, count(*) as total from ({_sql_scored('g', 'task, node_id')}) group by 1, 2
 """)
 def full_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    return _evaluated(spark, d, SAMPLES)
-
-
-def _evaluated(spark: SparkSession, d: str, samples: int) -> DataFrame:
-    rows = dataset.interval(_rows(spark, d).where("part = 'test'"), 0, samples, "dataset_idx").select("task", "instance_id", "answer")
+    rows = _rows(spark, d).where("part = 'test'").select("task", "instance_id", "answer")
     classes = table(spark, d, "tasks").where("class_labels is not null").select("task", F.col("class_labels").alias("output_classes"))
     pairs = rows.join(classes, "task").join(_nodes(spark, d).select("task", "node_id", "node"), "task")
     said = pairs.withColumn("generation", model.mock("node", F.col("instance_id").cast("string"), F.col("answer"), F.col("output_classes")))
     return search.evaluate_all(said, "task", "node_id").select("task", "node_id", F.round("right", 9).alias("right"), F.round("wrong", 9).alias("wrong"), "total")
 
 
-# The three queries above are samples: their first SAMPLES test rows a task are what their SQL holds. These are the whole job.
-
-
-def _whole(sql: str) -> str:
-    """The SQL of a sampled query over all test rows."""
-    return sql.replace(_TEST_SQL, f"select *, place - 10 as dataset_idx from ({_ROWS_SQL}) where place >= 10")
-
-
-@query("full_prompts_all", _whole(SQL["full_prompts"]))
-def full_prompts_all(spark: SparkSession, d: str) -> DataFrame:
-    return _prompted(spark, d, N_SHOT, -1).select("task", "node_id", "dataset_idx", F.md5(F.encode("prompt", "UTF-8")).alias("prompt_md5"))
-
-
-@query("full_prompts_zero_shot_all", _whole(SQL["full_prompts_zero_shot"]))
-def full_prompts_zero_shot_all(spark: SparkSession, d: str) -> DataFrame:
-    return _prompted(spark, d, 0, -1).select("task", "node_id", "dataset_idx", F.md5(F.encode("prompt", "UTF-8")).alias("prompt_md5"))
-
-
-@query("full_evaluation_all", _whole(SQL["full_evaluation"]))
-def full_evaluation_all(spark: SparkSession, d: str) -> DataFrame:
-    return _evaluated(spark, d, -1)
-
-
 def _log(spark: SparkSession, d: str) -> DataFrame:
     """Scored log rows, each once however often it was delivered, as the stream counts them."""
     rows = scoring.scored(table(spark, d, "logs")).select("log_id", "node_id", "task", "dataset_idx", "is_right", "is_wrong", "is_other")
@@ -469,6 +442,14 @@ def prefix_match_log(spark: SparkSession, d: str) -> DataFrame:
     return scoring.scored(table(spark, d, "logs")).select("log_id", "is_right", "is_wrong", "is_other")
 
 
+@query("echo_stripped", "select distinct log_id, md5(generation) as generation_md5 from logs where full_prompt_string is not null and generation is not null")
+def echo_stripped(spark: SparkSession, d: str) -> DataFrame:
+    """Generations as a model gives them, in lower case behind their prompts, and without these."""
+    rows = table(spark, d, "logs").where("full_prompt_string is not null and generation is not null").dropDuplicates(["log_id"])
+    said = F.concat(F.lower("full_prompt_string"), "generation")
+    return rows.select("log_id", F.md5(F.encode(text_functions.without_echo(said, F.col("full_prompt_string")), "UTF-8")).alias("generation_md5"))
+
+
 _ACC_SQL = f'select node_id, round(avg(is_right::int), 9) as "right", round(avg(is_wrong::int), 9) as wrong, count(*) filter (not is_right and not is_wrong) as other, count(*) as total from ({_LOG_SQL}) group by node_id'
 
 
@@ -574,24 +555,26 @@ def run_document(spark: SparkSession, d: str) -> DataFrame:
     return document.select(F.to_json(F.struct(*document.columns)).alias("document"))
 
 
-@query("json_roundtrip")
-def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{checkpoint_dir(spark)}/formats-{uuid.uuid4().hex}.json"
+ORDERED = "task9001_tide_reports_yesno"
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """All distinct formats of a shape and a task's order, written to a file and read again."""
+    path = f"{folder(spark)}/formats-{uuid.uuid4().hex}.json"
     names = formats.named(formats.distinct(_valid(spark), _ONE), _ONE).select("cand_id", "names")
-    task_files.write_formats(names, spark.range(100).select(F.col("id").alias("place"), (99 - F.col("id")).alias("row")), path)
-    return task_files.read_formats(spark, path).select(F.size("valid_value_assignments").alias("formats"), F.size("dataset_ordered_ids").alias("rows"))
+    rows = dataset.permuted(_instances(spark, d).where(F.col("task") == ORDERED))
+    task_files.write_formats(names, rows.select("place", F.col("pos").alias("row")), path)
+    return task_files.read_formats(spark, path)
 
 
-ORDERED = "task9001_tide_reports_yesno"
+@query("json_roundtrip", f"select (select count(*) from (select distinct space, separator, casing from ({_PRODUCT}) where ok))::int as formats, count(*)::int as rows from instances where task = '{ORDERED}'")
+def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    return _stored(spark, d).select(F.size("valid_value_assignments").alias("formats"), F.size("dataset_ordered_ids").alias("rows"))
 
 
 @query("json_order", f"select place, pos as row from (select task, pos, {_PLACE} as place from instances) where task = '{ORDERED}'")
 def json_order(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{checkpoint_dir(spark)}/formats-{uuid.uuid4().hex}.json"
-    names = formats.named(formats.distinct(_valid(spark), _ONE), _ONE).select("cand_id", "names")
-    rows = dataset.permuted(_instances(spark, d).where(F.col("task") == ORDERED))
-    task_files.write_formats(names, rows.select("place", F.col("pos").alias("row")), path)
-    return task_files.read_formats(spark, path).select(F.posexplode("dataset_ordered_ids").alias("place", "row"))
+    return _stored(spark, d).select(F.posexplode("dataset_ordered_ids").alias("place", "row"))
 
 
 # --- ranking by logits --------------------------------------------------------------------------------------------

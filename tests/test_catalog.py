@@ -42,7 +42,7 @@ def test_thompson_never_exceeds_the_data(spark, sf_dir):
 
 def test_files(spark, sf_dir):
     r = catalog.QUERIES["json_roundtrip"](spark, sf_dir).first()
-    assert (r.formats, r.rows) == (640, 100)
+    assert (r.formats, r.rows) == (640, catalog._instances(spark, sf_dir).where(F.col("task") == catalog.ORDERED).count())
     assert '"generation_order"' in catalog.QUERIES["run_document"](spark, sf_dir).first().document
 
 
@@ -59,10 +59,9 @@ def test_whole_jobs_have_every_test_row(spark):
     nodes, want = catalog._nodes(spark, d).groupBy("task").agg(F.count("*").alias("n")), {}
     for r in rows.join(nodes, "task").collect():
         want[r.task] = r["count"] * r.n
-    assert max(want.values()) > 161 * catalog.SAMPLES
-    for name in ("full_prompts_all", "full_prompts_zero_shot_all"):
+    for name in ("full_prompts", "full_prompts_zero_shot"):
         assert {r.task: r["count"] for r in catalog.QUERIES[name](spark, d).groupBy("task").count().collect()} == want
-    totals = {r.task: r.total for r in catalog.QUERIES["full_evaluation_all"](spark, d).groupBy("task").agg(F.sum("total").alias("total")).collect()}
+    totals = {r.task: r.total for r in catalog.QUERIES["full_evaluation"](spark, d).groupBy("task").agg(F.sum("total").alias("total")).collect()}
     assert totals and all(want[t] == n for t, n in totals.items())
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pytest
 
-from quaymark.plans.run import Settings, answered, run
-from quaymark.plans.templates import CATALOGUE
+from pyspark.sql import functions as F
+
+from quaymark.__main__ import command
+from quaymark.plans.run import Settings, answered, input_formats, run
+from quaymark.plans.templates import CATALOGUE, TASKS
 from quaymark.sources.tables import table
 
 TASK = "task9001_tide_reports_yesno"
@@ -61,3 +65,42 @@ def test_ranking(spark, more):
     if not more:
         assert {r.node_id: round(r.right * 40) for r in acc} == {r.node_id: sum(x.generation == "Yes" for x in log if x.node_id == r.node_id) for r in acc}
         assert all(r.other == 0 for r in acc)
+
+
+def test_options_are_renamed_by_each_format(spark):
+    """Classes of options follow the format's numbering, in demonstrations, answers and classes; the instruction names them too."""
+    t = TASKS[1380]
+    text = "Sentence: s{} Question: q{} (A) a{} (B) b{}"
+    rows = spark.createDataFrame([(k, TASK, text.replace("{}", str(k)), ["A" if k % 2 else "B"]) for k in range(60)], "instance_id bigint, task string, input string, output array<string>")
+    s = Settings(TASK, t, samples=20, formats=12, n_shot=2)
+    log = answered(spark, rows, "Say {enum1_1} or {enum1_2}.", s, None, original=input_formats(spark, t)).collect()
+    assert len(log) == 20 * len({r.node_id for r in log})
+    for r in log:
+        assert r.answer in r.output_classes and r.prompt.startswith(f"Say {r.output_classes[0]} or {r.output_classes[1]}.")
+    assert len({tuple(r.output_classes) for r in log}) > 1
+    bad = rows.withColumn("output", F.array(F.lit("C")))
+    with pytest.raises(Exception, match="no such class"):
+        answered(spark, bad, "", s, None, original=input_formats(spark, t)).collect()
+
+
+def test_items_of_varying_number(spark):
+    t = TASKS[84]
+    facts = lambda n: " ".join(f"Fact {i}- f{i}." for i in range(1, n + 1))
+    rows = spark.createDataFrame([(k, TASK, f"Passage: {facts(2 + k % 3)} Question: q{k} Answer: a{k}", ["1"]) for k in range(60)], "instance_id bigint, task string, input string, output array<string>")
+    log = answered(spark, rows, "D", Settings(TASK, t, samples=20, formats=3, n_shot=1), None, original=input_formats(spark, t)).collect()
+    assert len(log) % 20 == 0 and {len(re.findall(r"f[0-9]\.", r.prompt.split("\n\n")[-1])) for r in log} == {2, 3, 4}
+
+
+def test_stored_formats_and_order(spark, tmp_path):
+    """A run by the command line writes its formats and order; another one takes them from the file."""
+    (tmp_path / "tasks").mkdir()
+    doc = {"Definition": ["Is it?"], "Instances": [{"input": f"Sentence: s{k}", "output": ["Yes" if k % 3 else "No"]} for k in range(80)]}
+    (tmp_path / "tasks" / "task113_x.json").write_text(json.dumps(doc))
+    args = ["--tasks", str(tmp_path / "tasks"), "--task", "task113_", "--formats", "5", "--samples", "40", "--batch", "20", "--out", str(tmp_path / "out")]
+    stored = str(tmp_path / "formats.json")
+    one = command(spark, [*args, "--stored", stored])
+    two = command(spark, [*args, "--stored", stored])
+    a, b = (spark.read.json(x).first() for x in (one, two))
+    assert a.all_structured_prompt_formats_accuracies == b.all_structured_prompt_formats_accuracies and len(a.generation_order) >= 2
+    spread = spark.read.json(command(spark, [*args, "--stored", stored, "--budget", "80"])).first()
+    assert spread.metadata.thompson_sampling and spread.metadata.settings.metric == "exact_prefix_matching"
