@@ -49,11 +49,11 @@ def full_prompts(nodes: DataFrame, rows: DataFrame, blocks: DataFrame | None) ->
 
     Without demonstrations (``blocks`` null) the prompt is the row alone, without the instruction.
     """
+    if blocks is not None:  # joined to the few formats, not to every row of them
+        nodes = nodes.join(blocks.select("task", "node_id", "block"), ["task", "node_id"])
     cross = rows.join(nodes, "task")
-    cross = cross.withColumn("input_part", asked(_node(cross), F.col("fields")))
-    if blocks is None:
-        return cross.select("task", "node_id", "dataset_idx", F.col("input_part").alias("prompt"))
-    return cross.join(blocks, ["task", "node_id"]).select("task", "node_id", "dataset_idx", F.concat_ws("\n\n", "block", "input_part").alias("prompt"))
+    alone = asked(_node(cross), F.col("fields"))
+    return cross.select("task", "node_id", "dataset_idx", (alone if blocks is None else F.concat_ws("\n\n", "block", alone)).alias("prompt"))
 
 
 def class_map(nodes: DataFrame, original: str = "original_classes", current: str = "current_classes") -> DataFrame:
