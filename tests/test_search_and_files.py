@@ -74,3 +74,31 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     once = scoring.scored(log.dropDuplicates(["log_id"]))
     want = {r.node_id: r.n for r in once.groupBy("node_id").agg(F.count("*").alias("n")).collect()}
     assert {r.node_id: r.total for r in spark.sql("select * from acc").collect()} == want
+
+
+def test_arms_of_unequal_length():
+    """An arm is spent at its own rows; the original is spent from the start and gives the prior."""
+    grid = [[1] * 6 + [0] * 4, [1] * 30, [0] * 7]
+    found = search.two_phases(["o", "a", "b"], grid, 200, 5, original="o")
+    assert found.prior == search.prior_from(0.6) and (found.trials <= [10, 30, 7]).all()
+    assert "o" not in {node for _, _, node, *_ in found.trace} and found.trials[0] == 10 and found.successes[0] == 6
+    assert found.best("highest") == "a" and found.best("lowest") == "b" and found.trials.tolist() == [10, 30, 7]
+
+
+def test_steps_follow_given_draws():
+    arms = search.Arms.of(["o", "a", "b"], [[1, 0], [1, 0, 1, 1], [0, 0, 1]], 2)
+    s = search.Search(arms)
+    s.finish("o")
+    s.run("highest", 4, draws=np.array([[9, 1, 2], [9, 3, 2], [9, 3, 2], [9, 3, 2]], float))
+    assert [(n, a, b) for _, _, n, a, b, _ in s.trace] == [("b", 0, 2), ("a", 1, 2), ("a", 3, 4), ("b", 1, 3)]
+
+
+def test_outcomes_are_summed_by_batch(spark):
+    """The same search from a log as from a grid, with steps fewer than the batches and a row that is there twice."""
+    rng = np.random.default_rng(2)
+    grid = [rng.random(n) < p for n, p in ((50, 0.5), (83, 0.7), (31, 0.3))]
+    rows = [(f"n{k}", at, bool(hit)) for k, r in enumerate(grid) for at, hit in enumerate(r)]
+    log = spark.createDataFrame([*rows, rows[0]], "node_id string, eval_pos bigint, is_right boolean")
+    names = ["n0", "n1", "n2"]
+    a, b = search.search_arms(search.outcomes(log, 10, 6), 60, 3, original="n0"), search.two_phases(names, grid, 60, 10, 3, original="n0")
+    assert a.trace == b.trace and a.successes.tolist() == b.successes.tolist() and a.trials.tolist() == b.trials.tolist()
