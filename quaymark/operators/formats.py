@@ -118,7 +118,7 @@ def _turn(k: Column, salt: str, n: Column | int) -> Column:
 
 
 def edges(spark: SparkSession, template: Template, n: int, seed: str = "0", keep: bool = False) -> DataFrame:
-    """``n`` edges of two valid assignments that differ in one slot, the slots taken in turn, no assignment twice.
+    """``n`` edges of two valid assignments that differ in one slot, edge i in slot i modulo their number, no assignment twice.
 
     ``edge``, ``slot``, ``node_a``, ``node_b``; with ``keep`` also the assignments as JSON, ``a`` and ``b``. Fewer are
     returned only where the space is used up.
@@ -133,7 +133,8 @@ def edges(spark: SparkSession, template: Template, n: int, seed: str = "0", keep
     pairs = near.where("rank = 1").select("k", "slot", F.to_json(a).alias("a"), F.to_json(b).alias("b"), Compiled(template, prefix="_").render().alias("node_a"), Compiled(template).render().alias("node_b"))
     ends = pairs.select("k", F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.min("k").alias("k"))
     free = pairs.join(ends.select(F.col("end").alias("a"), F.col("k").alias("ka")), "a").join(ends.select(F.col("end").alias("b"), F.col("k").alias("kb")), "b").where("k = ka and k = kb")
-    out = free.withColumn("edge", F.row_number().over(Window.orderBy("k")) - 1).where(F.col("edge") < n)
+    turn = F.row_number().over(Window.partitionBy("slot").orderBy("k")) - 1
+    out = free.withColumn("edge", (turn * len(slots) + F.col("slot")).cast("int")).where(F.col("edge") < n)
     return out.select("edge", "slot", "node_a", "node_b", *(("a", "b") if keep else ()))
 
 

@@ -304,6 +304,44 @@ def format_paths(spark: SparkSession, d: str) -> DataFrame:
     return formats.paths(formats.sample(spark, _ONE, 200), _ONE)
 
 
+def _known(spark: SparkSession) -> DataFrame:
+    return formats.nodes(_valid(spark), _ONE).select("node")
+
+
+@query("format_edge_rules", "select slot, 20 as edges, 0 as unsound from (values (0), (1), (2)) t(slot)")
+def format_edge_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Of each slot's edges, how many don't join two valid assignments that differ in that slot alone, or use one that another edge uses."""
+    slots = [x.column for x in _ONE.slots()]
+    found = formats.edges(spark, _ONE, 60, keep=True)
+    ends = found.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("uses"))
+    kinds = ", ".join(f"{c} int" for c in slots)
+    a, b = (F.from_json(c, kinds) for c in "ab")
+    others = F.lit(True)
+    for k, c in enumerate(slots):
+        same = a[c].eqNullSafe(b[c])
+        others = others & F.when(F.col("slot") == k, ~same).otherwise(same)
+    known = _known(spark)
+    out = found.join(ends.select(F.col("v").alias("a"), F.col("uses").alias("ua")), "a").join(ends.select(F.col("v").alias("b"), F.col("uses").alias("ub")), "b")
+    out = out.join(known.select(F.col("node").alias("node_a"), F.lit(1).alias("ka")), "node_a", "left").join(known.select(F.col("node").alias("node_b"), F.lit(1).alias("kb")), "node_b", "left")
+    sound = others & (F.col("ua") == 1) & (F.col("ub") == 1) & F.col("ka").isNotNull() & F.col("kb").isNotNull()
+    return out.groupBy("slot").agg(F.count("*").alias("edges"), F.count_if(~sound).alias("unsound"))
+
+
+@query("format_path_rules", "select 200 as paths, 0 as unsound")
+def format_path_rules(spark: SparkSession, d: str) -> DataFrame:
+    """How many paths don't go through three distinct valid assignments, one slot changed at a time."""
+    slots = [x.column for x in _ONE.slots()]
+    found = formats.paths(formats.sample(spark, _ONE, 200), _ONE, keep=True)
+    kinds = ", ".join(f"{c} int" for c in slots)
+    v = [F.from_json(f"v{k}", kinds) for k in range(3)]
+    steps = [sum(((~v[k][c].eqNullSafe(v[k + 1][c])).cast("int") for c in slots), F.lit(0)) for k in range(2)]
+    sound = (steps[0] == 1) & (steps[1] == 1) & (F.col("v0") != F.col("v2"))
+    for k in range(3):
+        found = found.join(_known(spark).select(F.col("node").alias(f"node_{k}"), F.lit(1).alias(f"k{k}")), f"node_{k}", "left")
+        sound = sound & F.col(f"k{k}").isNotNull()
+    return found.agg(F.count("*").alias("paths"), F.count_if(~sound).alias("unsound"))
+
+
 @query(
     "format_neighbours",
     f"select a.cand_id, count(*) as neighbours, count(*) filter (b.ok) as valid from ({_PRODUCT}) a join ({_PRODUCT}) b on (a.sp <> b.sp)::int + (a.se <> b.se)::int + (a.ca <> b.ca)::int = 1 and (a.space <> b.space or a.separator <> b.separator or a.casing <> b.casing) and (b.sp <> 9 or a.sp = 9) where a.ok group by 1",
