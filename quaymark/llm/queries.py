@@ -157,3 +157,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p5_share")
 def p5_share(spark: SparkSession, d: str) -> DataFrame:
     return cut.shares(table(spark, d, "logs"), table(spark, d, "runs"), _truncated(spark, d))
+
+
+@query("p5_generations", "select model_name, count(*) as generations from (select distinct on (log_id) log_id, run_id from logs where log_id is not null) left join runs using (run_id) group by model_name")
+def p5_generations(spark: SparkSession, d: str) -> DataFrame:
+    """What the shares are shares of."""
+    return p5_share(spark, d).select("model_name", "generations")
