@@ -12,15 +12,19 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaymark.llm.chars import skeleton
+from quaymark.session import cut as write_once
 
 _BYTEWISE = ("latin_1", "cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "cp866")
 _WIDE = ("gbk", "cp932", "euc_jp")
@@ -239,8 +243,9 @@ def grams(text: str) -> Counter:
     """Folded characters, pairs and triples of a text with their counts."""
     out: Counter = Counter()
     s = "  " + skeleton(" ".join(text.split())) + " "
-    for i in range(2, len(s)):
-        out.update((s[i], s[i - 1 : i + 1], s[i - 2 : i + 1]))
+    out.update(s[2:])
+    out.update(map(add, s[1:], s[2:]))
+    out.update(map(add, map(add, s, s[1:]), s[2:]))
     return out
 
 
@@ -339,11 +344,16 @@ def best_step(tokens: list[str], model: Model | Apart) -> tuple[float, int, int,
     return best
 
 
+def first_gain(tokens: list[str], text: str, model: Model) -> float:
+    """What the best step gains without the text's own counts; taking them off only matters where something is gained."""
+    return best_step(tokens, model.apart(text))[0] if best_step(tokens, model)[0] > 0 else 0.0
+
+
 def restore(text: str, model: Model, margin: float) -> tuple[str, bool]:
     """The text with every accepted step undone, and whether any was. Each makes it likelier, so there is an end."""
     parts = _SPLIT.split(text)
     hit = False
-    if best_step(parts[0::2], model)[0] <= 0:  # taking its own counts off only matters where something is gained
+    if first_gain(parts[0::2], text, model) <= margin:
         return text, False
     model = model.apart(text)
     while True:
@@ -396,27 +406,103 @@ def _less(have: Cells, off: Cells | None) -> Cells:
     return have[0][n > 0], have[1][n > 0], n[n > 0]
 
 
-def validate(models: dict[str, Model], rows: DataFrame, sample: int = 2000, floor: float = 1.5) -> float:
-    """The lowest margin that best tells apart at most ``sample`` clean records (the first by a hash of their text, of at
-    most 20,000 characters) and the same records with one chain applied to them."""
-    held = rows.where("length(text) <= 20000").orderBy(F.xxhash64("text"), "text").limit(sample).toArrow().to_pandas()
-    clean, garbled = [], []
-    for k, (lang, t) in enumerate(zip(held["lang"], held["text"], strict=True)):
-        if t.isascii() or not looks_clean(t) or lang not in models:
-            continue
-        clean.append(best_step(_SPLIT.split(t)[0::2], models[lang].apart(t))[0])
-        read_as, really = CHAINS[k % len(CHAINS)]
+#: The margins that are tried.
+MARGINS = np.arange(1.5, 15.0, 0.5)
+
+
+def misread(text: str, chains: list[tuple[str, str]]) -> tuple[str, tuple[str, str]] | None:
+    """A text with one chain applied to it (the first that changes it, from a place by a hash on), and that chain."""
+    at = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) % max(len(chains), 1)
+    for read_as, really in chains[at:] + chains[:at]:
         try:
-            wrong = t.encode(really).decode(read_as)
-        except (UnicodeDecodeError, UnicodeEncodeError):
+            wrong = text.encode(really).decode(read_as)
+        except UnicodeError:
             continue
-        if wrong != t:
-            garbled.append(best_step(_SPLIT.split(wrong)[0::2], models[lang].apart(t))[0])
-    if not clean or not garbled:
-        return floor
-    at = np.arange(floor, 15.0, 0.5)
-    errors = np.array([sum(x > m for x in clean) * 5 + sum(x <= m for x in garbled) for m in at])
-    return float(at[errors.argmin()])
+        if wrong != text:
+            return wrong, (read_as, really)
+    return None
+
+
+def _gains(tokens: list[str], model: Model | Apart, chain: tuple[str, str], enough: float) -> bool:
+    """Does undoing this chain gain more than ``enough``? Then the best step does, whatever other chains gain."""
+    swap = chain[0] in _CYRILLIC and chain[1] in _CYRILLIC
+    gain, letters = 0.0, 0
+    for w in tokens:
+        if w.isascii():
+            continue
+        new = undo(w, *chain)
+        step = model.cost(new) - model.cost(w) if new is not None and _admissible(w, new, model, *chain) else -1e9
+        if gain + step > 0:
+            gain, letters = gain + step, letters + sum(map(str.isalpha, w))
+            if gain - SWAP_COST * swap > enough and not (swap and letters < SWAP_LEAST):
+                return True
+        else:
+            gain, letters = 0.0, 0
+    return False
+
+
+def told_apart(text: str, model: Model) -> tuple[float, float | None]:
+    """What the best step gains on a clean record, and on the same with one chain applied to it (infinite if more than any
+    margin; None if no chain changes it); neither speaks for itself."""
+    clean, made = first_gain(_SPLIT.split(text)[0::2], text, model), misread(text, model.chains)
+    if made is None:
+        return clean, None
+    tokens, apart = _SPLIT.split(made[0])[0::2], model.apart(text)
+    return clean, math.inf if _gains(tokens, apart, made[1], MARGINS[-1]) else best_step(tokens, apart)[0]
+
+
+def steps(gains: list[float]) -> np.ndarray:
+    """How many gains exceed just the first k of MARGINS, by k."""
+    return np.bincount(np.searchsorted(MARGINS, gains), minlength=len(MARGINS) + 1)
+
+
+def best_margin(clean: np.ndarray, wrong: np.ndarray) -> float:
+    """The lowest margin that best tells clean records from garbled ones, from their ``steps``; the first without any."""
+    if not clean.sum() or not wrong.sum():
+        return float(MARGINS[0])
+    taken, left = clean.sum() - np.cumsum(clean)[:-1], np.cumsum(wrong)[:-1]
+    return float(MARGINS[(taken * 5 + left).argmin()])
+
+
+def validate(rows: DataFrame, filled: Broadcast, key: str) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The rows (``key``, ``lang``, ``text``) on which something is lost, or a step gains more than the lowest margin; and the
+    ``steps`` of all clean records beyond ASCII, and of the same with one chain applied to them. Every record is looked at
+    once; the steps are summed in the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ours: dict[str, Model] = {}
+        counts = np.zeros((2, len(MARGINS) + 1), np.int64)
+        for b in batches:
+            out, clean, wrong = [], [], []
+            for k, la, t in zip(*(b.column(c).to_pylist() for c in (key, "lang", "text")), strict=True):
+                if t.isascii():
+                    continue
+                if la not in ours:
+                    ours[la] = _model(*filled.value[la]) if la in filled.value else model({})
+                if looks_clean(t) and la in filled.value:
+                    gain, other = told_apart(t, ours[la])
+                    clean.append(gain)
+                    wrong += [] if other is None else [other]
+                else:
+                    gain = first_gain(_SPLIT.split(t)[0::2], t, ours[la])
+                if gain > MARGINS[0] or LOST in t:
+                    out.append((k, la, t, None, None, None))
+            counts += np.array([steps(clean), steps(wrong)])
+            yield batch(out)
+        yield batch([(None, None, None, k, int(c), int(w)) for k, (c, w) in enumerate(counts.T) if c or w])
+
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+    names = (key, "lang", "text", "step", "clean", "wrong")
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names)
+
+    found = write_once(rows.select(key, "lang", "text").mapInArrow(run, f"{key} bigint, lang string, text string, step int, clean bigint, wrong bigint"))
+    summed = found.where("step is not null").groupBy("step").agg(F.sum("clean"), F.sum("wrong")).collect()  # a row for each margin at most
+    counts = np.zeros((2, len(MARGINS) + 1), np.int64)
+    for k, c, w in summed:
+        counts[:, k] = c, w
+    return found.where("step is null").select(key, "lang", "text"), *counts
 
 
 def garbled(records: DataFrame, key: str = "instance_id", lang: str = "lang", text: str = "text", margin: float | None = None) -> DataFrame:
@@ -428,8 +514,10 @@ def garbled(records: DataFrame, key: str = "instance_id", lang: str = "lang", te
     rows = records.select(F.col(key).cast("bigint").alias(key), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.col(text).alias("text")).where("text is not null")
     once = rows.select("lang", "text")
     filled = train(once, train(once))
-    limit = margin if margin is not None else validate({k: _model(*c) for k, c in filled.items()}, once)
     shared = records.sparkSession.sparkContext.broadcast(filled)
+    if margin is None:
+        rows, clean, wrong = validate(rows, shared, key)
+    limit = margin if margin is not None else best_margin(clean, wrong)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ours: dict[str, Model] = {}

@@ -182,3 +182,23 @@ def test_the_next_word_is_read_whole():
     long = "x" * 60
     model = sentences.Language(abbreviations={"nr"}, ending={"nr"}, collocations={("nr", long)})
     assert len(sentences.sentences(f"See Nr. {long} now.", model)) == 1
+
+
+def test_the_margin_is_validated_on_every_clean_record(spark):
+    """Beyond 2,000 records, most of them ASCII, and beyond 20,000 characters: the gains of all are counted, as by brute force."""
+    texts = [("en", f"ascii {k}") for k in range(2500)] + [(la, f"{t} {k}") for la, ts in (("fr", FR), ("ru", RU)) for k in range(12) for t in ts] + [("fr", FR[0] * 600)]
+    texts += [("fr", FR[0].encode().decode("cp1252", "replace")), ("fr", "caf\N{REPLACEMENT CHARACTER}"), ("ru", "я" * 3)]
+    rows = spark.createDataFrame([(k, *x) for k, x in enumerate(texts)], "instance_id bigint, lang string, text string")
+    filled = garbled.train(rows.select("lang", "text"))
+    kept, clean, wrong = garbled.validate(rows, spark.sparkContext.broadcast(filled), "instance_id")
+    models = {la: garbled._model(*c) for la, c in filled.items()}
+    sound = [(t, models[la]) for la, t in texts if not t.isascii() and garbled.looks_clean(t)]
+    made = [(garbled.misread(t, m.chains), t, m) for t, m in sound]
+    assert len(sound) == clean.sum() > 70 and sum(x is not None for x, _, _ in made) == wrong.sum() > 60
+    split = lambda t: garbled._SPLIT.split(t)[0::2]
+    gains = [garbled.first_gain(split(t), t, m) for t, m in sound], [garbled.best_step(split(x[0]), m.apart(t))[0] for x, t, m in made if x]
+    for found, want in zip((clean, wrong), gains, strict=True):
+        assert found.tolist() == garbled.steps(want).tolist()
+    at = [sum(x > m for x in gains[0]) * 5 + sum(x <= m for x in gains[1]) for m in garbled.MARGINS]
+    assert garbled.best_margin(clean, wrong) == garbled.MARGINS[at.index(min(at))]
+    assert {len(texts) - 3, len(texts) - 2} <= {r.instance_id for r in kept.collect()}
