@@ -8,6 +8,7 @@ them, minding quotes, brackets, labels, list numbers, wrapped lines and scripts
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,15 +17,17 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaymark.session import cut as write_once
 
 NUMBER = "##"
-#: A type must make up this share of its language's tokens (and occur thrice) to enter the model: at most 1/FLOOR
-#: types a language, whatever the corpus.
-FLOOR, ABBREVIATION, COLLOCATION, STARTER, ENDS = 1e-5, 3.0, 7.88, 30.0, 0.2
+#: What the tests of a type, or of two across a period, must reach, whatever its share of the corpus.
+ABBREVIATION, COLLOCATION, STARTER, ENDS = 3.0, 7.88, 30.0, 0.2
+#: Frequent words a language, to tell it by.
+TELLING = 200
+COUNTS = ("period", "bare", "closing", "digit", "lower", "other", "start")
 _BREAK = regex.compile(r"\s*[\n\r\x0b\x0c\x1c-\x1e\x85  ]\s*")
 _HARD = regex.compile(r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ])[^\S\n\r\x0b\x0c\x1c-\x1e\x85  ]*(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ])")
 _NUMERIC = regex.compile(r"[\p{N}.,:%/\-–°]*\p{N}[\p{N}.,:%/\-–°]*")
@@ -142,20 +145,14 @@ class Language:
     words: dict[str, float] = field(default_factory=dict)
 
 
-def learn(rows: pd.DataFrame) -> Language:
-    """A language's model from its counts (``what``, ``a``, ``b``, ``n``)."""
-    one = rows[rows["a"] == ""].set_index("what")["n"].to_dict()
-    wide = rows[(rows["a"] != "") & (rows["b"] == "")].pivot_table(index="a", columns="what", values="n", aggfunc="sum", fill_value=0)
-    for c in ("period", "bare", "closing", "digit", "lower", "other", "start"):
-        if c not in wide:
-            wide[c] = 0
-    if wide.empty:
-        return Language()
+def tested(wide: pd.DataFrame, one: dict[str, int]) -> pd.DataFrame:
+    """Of types with their COUNTS: may each be an abbreviation, one that may end a sentence, one that a number belongs to, a
+    sentence starter. ``one``: the sums of the language. Every type is tested by itself."""
     total, periods = one.get("all", 1), one.get("periods", 0)
     n = (wide["period"] + wide["bare"]).to_numpy(float)
     p = wide["period"].to_numpy(float)
-    letters = np.array([sum(c.isalpha() for c in t) for t in wide.index], float)
-    dots = np.array([t.count(".") + 1 for t in wide.index], float)
+    letters = np.array([sum(c.isalpha() for c in t) for t in wide["a"]], float)
+    dots = np.array([t.count(".") + 1 for t in wide["a"]], float)
     more = p / np.maximum(n, 1) > periods / max(total, 1)
     score = _llr(p, n, periods - p, total - n) * np.exp(-letters) * dots * np.where(more, 1.0, 0.0) * (p / np.maximum(n, 1)) ** 2
     # followed by lower case: what a sentence's end hardly ever is
@@ -164,31 +161,62 @@ def learn(rows: pd.DataFrame) -> Language:
     base = (one.get("asked closing", 0) + 1) / (one.get("asked", 0) + 4)
     closing = wide["closing"].to_numpy(float) / np.maximum(p, 1)
     rarely = (closing < ENDS * base) & (p * base >= np.where(letters <= 4, 3, 15))
-    number = np.array([t == NUMBER for t in wide.index])
+    number = np.array([t == NUMBER for t in wide["a"]], bool)
     abbreviated = number | (p >= 3) & (((score >= ABBREVIATION) & (letters <= 6)) | (lower > 0.2) | (rarely & (letters <= 8)))
-    ending = closing >= ENDS * base
     start_digit = (one.get("digit start", 0) + 1) / (one.get("starts", 0) + 2)
-    after = wide["digit"] + wide["other"]
-    numbered = abbreviated & (wide["digit"].to_numpy(float) >= 3) & (wide["digit"].to_numpy(float) / np.maximum(after.to_numpy(float), 1) > 4 * start_digit)
+    after = (wide["digit"] + wide["other"]).to_numpy(float)
+    digit = wide["digit"].to_numpy(float)
     s, starts = wide["start"].to_numpy(float), one.get("starts", 0)
-    starter = (_llr(s, n, starts - s, total - n) >= STARTER) & (s / np.maximum(n, 1) > starts / max(total, 1))
-    pairs = rows[rows["what"] == "pair"]
-    of = wide["period"].to_dict()
-    seen = (wide["period"] + wide["bare"]).to_dict()
-    a = np.array([of.get(x, 0) for x in pairs["a"]], float)
-    b = np.array([seen.get(x, 0) for x in pairs["b"]], float)
-    both = pairs["n"].to_numpy(float)
-    tied = (both >= 3) & (both / np.maximum(a, 1) > b / max(total, 1)) & (_llr(both, a, b - np.minimum(both, b), total - a) >= COLLOCATION) if len(pairs) else np.zeros(0, bool)
-    top = wide.assign(n=n).query("bare > 0").nlargest(200, "n")["n"]
-    index = np.array(wide.index, dtype=object)
+    return pd.DataFrame({
+        "a": wide["a"].to_numpy(object), "period": wide["period"].to_numpy(np.int64), "abbreviated": abbreviated, "ending": closing >= ENDS * base,
+        "numbered": abbreviated & (digit >= 3) & (digit / np.maximum(after, 1) > 4 * start_digit),
+        "starter": (_llr(s, n, starts - s, total - n) >= STARTER) & (s / np.maximum(n, 1) > starts / max(total, 1)),
+    })
+
+
+def tied(both: np.ndarray, a: np.ndarray, b: np.ndarray, total: np.ndarray | int) -> np.ndarray:
+    """Do two types that stand ``both`` times across a period belong together? ``a``: periods after the first, ``b``: all of the second."""
+    return (both >= 3) & (both / np.maximum(a, 1) > b / np.maximum(total, 1)) & (_llr(both, a, b - np.minimum(both, b), total - a) >= COLLOCATION)
+
+
+def _language(types: pd.DataFrame, pairs: pd.DataFrame, top: pd.DataFrame, total: int) -> Language:
+    """From types and pairs with what the tests said, and the most frequent words with their number."""
     return Language(
-        set(index[abbreviated]), set(index[ending]), set(index[numbered]), set(zip(pairs["a"][tied], pairs["b"][tied], strict=True)), set(index[starter]),
-        {w: float(np.log(k / total)) for w, k in top.items() if any(c.isalpha() for c in w)},
+        *(set(types["a"][types[c].to_numpy(bool)]) for c in ("abbreviated", "ending", "numbered")), set(zip(pairs["a"], pairs["b"], strict=True)), set(types["a"][types["starter"].to_numpy(bool)]),
+        {w: float(np.log(k / total)) for w, k in zip(top["a"], top["n"], strict=True) if any(c.isalpha() for c in w)},
     )
 
 
+def learn(rows: pd.DataFrame) -> Language:
+    """A language's model from its counts (``what``, ``a``, ``b``, ``n``), in one place; ``statistics`` does the same in tasks."""
+    one = rows[rows["a"] == ""].set_index("what")["n"].to_dict()
+    wide = rows[(rows["a"] != "") & (rows["b"] == "") & (rows["what"] != "pair")].pivot_table(index="a", columns="what", values="n", aggfunc="sum", fill_value=0)
+    wide = wide.reindex(columns=COUNTS, fill_value=0).reset_index()
+    if wide.empty:
+        return Language()
+    total = one.get("all", 1)
+    types = tested(wide, one)
+    pairs = rows[rows["what"] == "pair"]
+    n = (wide["period"] + wide["bare"]).to_numpy()
+    of, seen = dict(zip(wide["a"], wide["period"], strict=True)), dict(zip(wide["a"], n, strict=True))
+    a, b = (np.array([known.get(x, 0) for x in pairs[c]], float) for known, c in ((of, "a"), (seen, "b")))
+    top = wide.assign(n=n).query("bare > 0").nlargest(TELLING, "n")
+    return _language(types, pairs[tied(pairs["n"].to_numpy(float), a, b, total)], top, total)
+
+
+def _asked(t: str) -> bool:
+    """Is what a type tells looked up even if it is no abbreviation? So it is if its last part is a single capital letter, folded."""
+    return t[t.rfind(" ") + 1 :] in _capitals()
+
+
+@lru_cache(maxsize=1)
+def _capitals() -> frozenset[str]:
+    return frozenset(c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if c.isupper() and c.isalpha())
+
+
 def statistics(docs: DataFrame) -> dict[str, Language]:
-    """A model per language from every document of ``lang``, ``text``; summed map-side, rare types left out by FLOOR."""
+    """A model per language from every document of ``lang``, ``text``: counts are summed map-side, every type and every two
+    across a period are tested in the tasks, however rare. What passes, and is ever looked up, goes to the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -198,10 +226,35 @@ def statistics(docs: DataFrame) -> dict[str, Language]:
             yield pd.DataFrame(out, columns=["lang", "what", "a", "b", "n"])
 
     counted = write_once(docs.where("text is not null and lang is not null").mapInPandas(run, "lang string, what string, a string, b string, n bigint").groupBy("lang", "what", "a", "b").agg(F.sum("n").alias("n")))
-    totals = counted.where("what = 'all'").select("lang", F.col("n").alias("total"))
-    often = F.col("n") >= F.greatest(F.lit(3), F.col("total") * FLOOR)
-    found = counted.join(totals, "lang").where((F.col("a") == "") | often | ((F.col("what") != "pair") & (F.col("a") == NUMBER))).drop("total").toArrow().to_pandas()
-    return {lang: learn(rows) for lang, rows in found.groupby("lang")}
+    sums: dict[str, dict[str, int]] = {}
+    for lang, what, n in counted.where("a = ''").select("lang", "what", "n").collect():  # seven a language
+        sums.setdefault(lang, {})[what] = n
+    numbers = [F.coalesce(F.sum(F.when(F.col("what") == c, F.col("n"))), F.lit(0)).alias(c) for c in COUNTS]
+    wide = write_once(counted.where("a <> '' and what <> 'pair'").groupBy("lang", "a").agg(*numbers))
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lang, types in b.groupby("lang"):
+                out = tested(types, sums[lang])
+                asked = out["abbreviated"] | out["starter"] | np.array([_asked(t) for t in out["a"]], bool)
+                yield out[asked].assign(lang=lang)[["lang", *out.columns]]
+
+    types = write_once(wide.mapInPandas(test, "lang string, a string, period bigint, abbreviated boolean, ending boolean, numbered boolean, starter boolean"))
+
+    def test_two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            total = np.array([sums[la].get("all", 1) for la in b["lang"]], float)
+            hit = tied(b["n"].to_numpy(float), b["period"].to_numpy(float), b["seen"].to_numpy(float), total)
+            yield b[hit][["lang", "a", "b"]]
+
+    first = types.select("lang", "a", "period")
+    second = wide.select("lang", F.col("a").alias("b"), (F.col("period") + F.col("bare")).alias("seen"))
+    two = counted.where("what = 'pair' and n >= 3").select("lang", "a", "b", "n").join(first, ["lang", "a"]).join(second, ["lang", "b"], "left")
+    pairs = two.select("lang", "a", "b", "n", "period", F.coalesce("seen", F.lit(0)).alias("seen")).mapInPandas(test_two, "lang string, a string, b string").toArrow().to_pandas()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "a"))
+    top = wide.where("bare > 0").select("lang", "a", (F.col("period") + F.col("bare")).alias("n")).withColumn("place", place).where(F.col("place") <= TELLING).toArrow().to_pandas().sort_values(["lang", "place"])
+    known = types.toArrow().to_pandas()
+    return {lang: _language(*(x[x["lang"] == lang] for x in (known, pairs, top)), one.get("all", 1)) for lang, one in sums.items()}
 
 
 def guess(text: str, models: dict[str, Language]) -> str:

@@ -202,3 +202,19 @@ def test_the_margin_is_validated_on_every_clean_record(spark):
     at = [sum(x > m for x in gains[0]) * 5 + sum(x <= m for x in gains[1]) for m in garbled.MARGINS]
     assert garbled.best_margin(clean, wrong) == garbled.MARGINS[at.index(min(at))]
     assert {len(texts) - 3, len(texts) - 2} <= {r.instance_id for r in kept.collect()}
+
+
+def test_types_of_any_share_are_learnt(spark):
+    """An abbreviation that makes up a millionth of its language; models equal those learnt in one place from all counts."""
+    rare = [f"See Qv. {n} here.\nThe qvx stood near J. R. Bob. Why?\n" for n in (4, 5, 6, 7)] + ["It went to Zt. and back. Is it?"] * 3
+    texts = [("en", t) for t in rare] + [("en", "word " * 100_000)] * 40 + [("fr", "Voir no. 5. Où? Voir M. Rémy.\nIl part.")] * 4 + [("de", None), ("zz", " "), (None, "A b.")]
+    docs = spark.createDataFrame(texts, "lang string, text string").repartition(7)
+    models = sentences.statistics(docs)
+    assert set(models) == {"en", "fr"} and {"qv", "zt"} <= models["en"].abbreviations and ("qv", sentences.NUMBER) in models["en"].collocations
+    for la, found in models.items():
+        want = _model([t for lang, t in texts if lang == la])
+        for name in ("abbreviations", "numbered", "starters", "words"):
+            assert getattr(found, name) == getattr(want, name), name
+        looked_up = lambda t, m=want: t in m.abbreviations or sentences._asked(t)
+        assert found.collocations == {x for x in want.collocations if looked_up(x[0]) or x[0] in want.starters}
+        assert {t for t in found.ending if looked_up(t)} == {t for t in want.ending if looked_up(t)}
